@@ -22,6 +22,7 @@ pass through; the input may not have columns that begin with ``_tw_``.
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -137,11 +138,13 @@ def normalise_instants(
     senders: DataFrame,
     min_posterior: float = 0.95,
     strength: float = 20.0,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Adds ``utc_us`` BIGINT, ``status`` STRING and ``posterior`` DOUBLE to df.
 
     senders: code, zone_name (IANA zone of values without one), date_order (ymd, dmy or mdy; order of
     all-number dates that do not begin with the year); the first row of a code counts.
+    keep: stores the posteriors (a few rows a source) once, as two steps use them.
     """
     who = senders.groupBy(F.col("code").alias("_tw_code")).agg(F.min_by("zone_name", F.struct("zone_name", "date_order")).alias("_tw_zone"), F.min_by("date_order", F.struct("zone_name", "date_order")).alias("_tw_order"))
     base = computed(df, _tw_v=_clean(F.col(value).cast("string")), _tw_source=F.col(source).cast("string"))
@@ -204,15 +207,14 @@ def normalise_instants(
     )
     fields = computed(fields, _tw_os=F.when(numeric & (dmy | mdy), order_sig), _tw_prior=prior, _tw_zs=abbr_sig)
 
-    def counts(var: Column, sig: str, pr: Column) -> DataFrame:
-        return (
-            fields.filter(F.col(sig).isNotNull())
-            .groupBy(F.coalesce(F.col("_tw_source"), F.lit("")).alias("_tw_source"), var.alias("_tw_var"), F.col(sig).alias("_tw_sig"), pr.alias("_tw_prior"))
-            .agg(F.count("*").alias("n"))
-        )
-
-    both = counts(F.lit("order"), "_tw_os", F.col("_tw_prior")).unionByName(counts(F.col("_tw_zt"), "_tw_zs", F.lit(-1)))
-    post = fit_mixtures(both, strength)
+    var = lambda name, sig, pr: F.struct(name.alias("_tw_var"), F.col(sig).alias("_tw_sig"), pr.alias("_tw_prior"))
+    counts = (
+        fields.select(F.coalesce(F.col("_tw_source"), F.lit("")).alias("_tw_source"), F.inline(F.array(var(F.lit("order"), "_tw_os", F.col("_tw_prior")), var(F.col("_tw_zt"), "_tw_zs", F.lit(-1)))))
+        .filter(F.col("_tw_sig").isNotNull())
+        .groupBy("_tw_source", "_tw_var", "_tw_sig", "_tw_prior")
+        .agg(F.count("*").alias("n"))
+    )
+    post = keep(fit_mixtures(counts, strength))
 
     def look(var: Column, sig: str, into: str) -> DataFrame:
         p = post.select(F.col("_tw_source").alias("_tw_ps"), F.col("_tw_var").alias("_tw_pv"), F.col("_tw_sig").alias("_tw_pg"), F.col("_tw_post").alias(into))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.instants import normalise_instants
-from tidewell.session import table
+from tidewell.session import materialise, table
 
 #: table, key, time field, field that names the sender
 FIELDS = (
@@ -33,7 +33,7 @@ def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value with its instant, status and posterior; repeats count once."""
     values = time_values(spark, sf_dir).dropDuplicates(["src", "rec_key", "field_name"])
-    return normalise_instants(values, "value", "sender", table(spark, sf_dir, "feed_zones"))
+    return normalise_instants(values, "value", "sender", table(spark, sf_dir, "feed_zones"), keep=lambda df: materialise(df, "p1"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
