@@ -46,7 +46,7 @@ def p2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = quotes.select("record_id", F.col("source_url").alias("quote_url"), F.col("quality_reject_reason").alias("quote")).dropDuplicates(["record_id"])
     both = pages.join(quotes, F.col("page_id") == F.col("record_id"), "full_outer")
     both = both.select(F.col("page_id").cast("string").alias("rec_key"), F.coalesce("url", "quote_url").alias("url"), "raw_text", "blocks", F.col("record_id").cast("string").alias("quote_key"), "quote")
-    lines = B.strip_boilerplate(both, B.induce(pages))
+    lines = B.strip_boilerplate(both, B.induce(pages, keep=lambda df: materialise(df, "p2")))
     return lines.withColumn("src", F.when(F.col("src") == "page", "parsed_documents").otherwise("quality_rejected"))
 
 
