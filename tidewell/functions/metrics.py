@@ -9,6 +9,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewell.functions.text import alnum_only
 
@@ -39,7 +40,7 @@ def bigram_overlap(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).join(m.select(key, p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1")), key, "left").na.fill(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings, as in difflib."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -69,7 +69,7 @@ def sentences(c: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Two-character runs; empty for texts shorter than two."""
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), 1)
 
 
 def pieces(c: Column, width: int) -> Column:

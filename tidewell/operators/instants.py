@@ -15,8 +15,9 @@ Defined results (column ``status``):
 * ``ok``         ``utc_us`` holds the instant; in every other case it is null
 
 A date alone is the start of that day in the source's zone.  Unknown or null sources have no zone
-and no declared order: values with an offset or zone of their own still resolve.  Extra columns
-pass through; the input may not have columns that begin with ``_tw_``.
+and no declared order: values with an offset or zone of their own still resolve.  Repeated rows each
+get their result.  Extra columns pass through, those named like the results are replaced; the input
+may not have columns that begin with ``_tw_``.
 """
 
 from __future__ import annotations
@@ -147,7 +148,9 @@ def normalise_instants(
     keep: stores the posteriors (a few rows a source) once, as two steps use them.
     """
     who = senders.groupBy(F.col("code").alias("_tw_code")).agg(F.min_by("zone_name", F.struct("zone_name", "date_order")).alias("_tw_zone"), F.min_by("date_order", F.struct("zone_name", "date_order")).alias("_tw_order"))
-    base = computed(df, _tw_v=_clean(F.col(value).cast("string")), _tw_source=F.col(source).cast("string"))
+    results = ("utc_us", "status", "posterior")
+    kept = [c for c in df.columns if c not in results]
+    base = computed(df, _tw_v=_clean(F.col(value).cast("string")), _tw_source=F.col(source).cast("string")).drop(*results)
     base = base.join(who, base["_tw_source"] == who["_tw_code"], "left").drop("_tw_code")
     g = F.col("_tw_g")
     base = computed(base, _tw_g=_groups(F.col("_tw_v")))
@@ -271,4 +274,4 @@ def normalise_instants(
     )
     instant = F.coalesce(epoch, F.when(off.isNotNull(), F.unix_micros(wall) - off.cast("bigint") * 60_000_000).otherwise(F.unix_micros(utc)))
     out = computed(out, status=status, posterior=doubt, _tw_instant=instant).withColumn("utc_us", F.when(F.col("status") == "ok", F.col("_tw_instant")))
-    return out.select(*df.columns, "utc_us", "status", "posterior")
+    return out.select(*kept, *results)

@@ -152,6 +152,8 @@ def decode_speakers(df: DataFrame, call: str, at: str, end: str, score: str) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[at]).sort_values([at, end], kind="stable")
+        if pdf.empty:
+            return pd.DataFrame(columns=[call, at, "state"])
         s = pdf[score].fillna(0.5).to_list()
         starts, ends = pdf[at].to_list(), pdf[end].fillna(pdf[at]).to_list()
         states = decode_two([(4 * x, 4 * (1 - x)) for x in s], [max(0.0, b - a) for a, b in zip(ends, starts[1:], strict=False)])

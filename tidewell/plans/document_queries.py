@@ -67,7 +67,7 @@ def x3_html(spark, d):
     return out.select("page_id", "title", F.size("blocks").alias("n_blocks"))
 
 
-@fam.query("select doc_id, count(*) as lines, count_if(length(line) <= 60 and regexp_matches(line, '^(第[一二三四五六七八九十百0-9]+[章节部分篇编]|[一二三四五六七八九十]+、|[0-9]+[.、．]\\s*[^0-9])')) as headings from (select doc_id, regexp_replace(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), '^\\s+|\\s+$', '', 'g') as line from documents where text is not null) where line <> '' group by doc_id")
+@fam.query("select doc_id, count(*) as lines, count_if(length(line) <= 60 and regexp_matches(line, '^(第[一二三四五六七八九十百0-9]+[章节部分篇编]|[一二三四五六七八九十]+、|[0-9]+[.、．]\\s*[^0-9])')) as headings from (select doc_id, regexp_replace(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), '^[\\s\x0b]+|[\\s\x0b]+$', '', 'g') as line from documents where text is not null) where line <> '' group by doc_id")
 def x2_text_lines(spark, d):
     (x,) = tables(spark, d, "documents")
     lines = x.filter("text is not null").select("doc_id", F.explode(F.split("text", r"\r\n|\r|\n")).alias("line")).withColumn("line", S.strip(F.col("line")))

@@ -57,14 +57,14 @@ def j6_overlap_semi(spark, d):
 
 
 @fam.query("""
-    with t as (select distinct title from manifest where length(title) between 6 and 12), x as (select doc_id, text from documents where text is not null)
-    select x.doc_id, t.title from x join t on contains(x.text, t.title)
+    with t as (select distinct elements.event as phrase from workorders), x as (select doc_id, text from documents where text is not null)
+    select x.doc_id, t.phrase from x join t on contains(x.text, t.phrase)
 """)
 def j7_containment(spark, d):
-    """Titles that stand in other texts: a containment join by an index of two-character keys."""
-    x, m = tables(spark, d, "documents", "manifest")
-    titles = m.select("title").distinct().filter("length(title) between 6 and 12")
-    return J.contains_join(x.filter("text is not null").select("doc_id", "text"), "text", titles, "title").select("doc_id", "title").distinct()
+    """Phrases that stand in other texts: a containment join by an index of two-character keys."""
+    x, w = tables(spark, d, "documents", "workorders")
+    phrases = w.select(F.col("elements.event").alias("phrase")).distinct()
+    return J.contains_join(x.filter("text is not null").select("doc_id", "text"), "text", phrases, "phrase").select("doc_id", "phrase").distinct()
 
 
 @fam.query("select event_type, count(*) as n, count_if(o_orderstatus = 'F') as finished from events join orders on event_id = o_orderkey group by event_type")

@@ -72,13 +72,13 @@ def r3_fused(spark, d):
 
 
 @fam.query(f"""
-    with {_BM25}, h as (select (item_id // 10) as grp, item_id as part, doc_id, round(score, 6) as score from lex where rank <= 20),
+    with {_BM25}, h as (select (item_id // 10) as grp, item_id as part, doc_id, round(score, 4) as score from lex where rank <= 20),
     f as (select *, row_number() over (partition by grp, part order by score desc, doc_id) as b from h), g as (select grp, doc_id, max(score) as score, min(part) filter (b = 1) as first from f group by 1, 2)
     select grp, doc_id, score, r::int as rank from (select *, row_number() over (partition by grp order by first nulls last, score desc, doc_id) as r from g) where r <= 8
 """)
 def k4_coverage(spark, d):
     """Of queries that belong together, the best hit of each comes first."""
-    h = _lexical(spark, d).select(F.floor(F.col("item_id") / 10).alias("grp"), F.col("item_id").alias("part"), "doc_id", F.round("score", 6).alias("score"))
+    h = _lexical(spark, d).select(F.floor(F.col("item_id") / 10).alias("grp"), F.col("item_id").alias("part"), "doc_id", F.round("score", 4).alias("score"))
     return R.coverage_top_k(h, "grp", "part", "doc_id", "score", 8)
 
 
@@ -152,14 +152,14 @@ def q2_first_token_groups(spark, d):
     return g.filter("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@fam.query("select distinct on (w.case_id) w.case_id, x.dept_id as routed from (select distinct case_id, source.raw_text as t from workorders) w join departments x on contains(w.t, x.name) order by w.case_id, x.dept_id")
+@fam.query("select d.doc_id, min(x.dept_id) as routed, count(*) as hits from documents d join departments x on contains(d.text, x.name) group by d.doc_id")
 def g2_keyword_route(spark, d):
-    """The first department, in table order, whose name the text contains."""
+    """The first department, in table order, whose name the text contains, and how many are named."""
     from tidewell.operators.joins import contains_join
 
-    w, dep = tables(spark, d, "workorders", "departments")
-    texts = w.select("case_id", F.col("source.raw_text").alias("t")).distinct()
-    return contains_join(texts, "t", dep.select("dept_id", "name"), "name").groupBy("case_id").agg(F.min("dept_id").alias("routed"))
+    x, dep = tables(spark, d, "documents", "departments")
+    hit = contains_join(x.select("doc_id", "text"), "text", dep.select("dept_id", "name"), "name").select("doc_id", "dept_id").distinct()
+    return hit.groupBy("doc_id").agg(F.min("dept_id").alias("routed"), F.count("*").alias("hits"))
 
 
 @fam.query("""

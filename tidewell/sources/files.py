@@ -25,7 +25,7 @@ def table_below_preface(rows: DataFrame, order: str, cells: str, key: str) -> Da
     head = rows.filter(F.array_contains(cells, key)).orderBy(order).limit(1).select(F.col(order).alias("_tw_at"), F.col(cells).alias("_tw_head"))
     below = rows.join(F.broadcast(head), F.col(order) > F.col("_tw_at"))  # one row
     pad = F.slice(F.concat(F.col(cells), F.array_repeat(F.lit(None).cast("string"), F.size("_tw_head"))), 1, F.size("_tw_head"))
-    named = F.map_from_entries(F.filter(F.zip_with("_tw_head", pad, lambda k, v: F.struct(k, v)), lambda e: F.coalesce(F.trim(e[0]) != "", F.lit(False))))
+    named = F.map_from_entries(F.filter(F.zip_with("_tw_head", pad, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: F.coalesce(F.trim(e["k"]) != "", F.lit(False))))
     return below.select(order, named.alias("row"))
 
 

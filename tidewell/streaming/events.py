@@ -18,9 +18,10 @@ from tidewell.session import shared_dir
 
 
 def stream_of(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A parquet table as a stream of files."""
+    """A parquet table, one file or a folder of them, as a stream of files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    pattern = path.replace(".parquet", "[.]parquet")  # a pattern may match a file, a plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(pattern)
 
 
 def run_once(df: DataFrame, what: str, mode: str = "append") -> DataFrame:
