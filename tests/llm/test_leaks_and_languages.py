@@ -1,0 +1,72 @@
+"""Planted passages; held-out languages."""
+
+import random
+
+import duckdb
+
+from tidewell.llm import languages as G
+from tidewell.llm import leaks as K
+
+FILL = "工作人员通过资料复核确认路灯连续多日不亮确有其事请申请人在前完成自查并留存备查"
+
+
+def _plain(s):
+    return "".join(c for c in s if c.isalnum())
+
+
+def test_planted_passages(spark, tiny):
+    items = duckdb.sql(f"select item_id, passage from '{tiny}/eval_items.parquet' order by item_id").fetchall()[:60]
+    rng = random.Random(3)
+    docs, want = [(0, None), (1, ""), (2, FILL * 2000)], set()
+    for n, (i, p) in enumerate(items):
+        parts = [x for x in p.replace("。", "。|").replace(". ", ". |").split("|") if x]
+        whole, half = "".join(parts), "".join(parts[: (len(parts) + 2) // 2])
+        some = parts[0]
+        docs.append((100 + n, FILL + whole + FILL))
+        want.add((100 + n, i))
+        changed = "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in " ".join(whole)) if len(parts) > 1 else whole
+        docs.append((300 + n, FILL + changed.upper()))
+        want.add((300 + n, i))
+        if len(_plain(half)) >= 0.55 * len(_plain(whole)):
+            docs.append((500 + n, half + FILL * 3))
+            want.add((500 + n, i))
+        if len(_plain(some)) <= 0.4 * len(_plain(whole)):
+            docs.append((700 + n, FILL + some + FILL))
+    rng.shuffle(docs)
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
+    it = spark.createDataFrame([*items, (9, None), (10, "")], "item_id long, passage string")
+    got = {(r["doc_id"], r["item_id"]) for r in K.find_leaks(d, "doc_id", "text", it, "item_id", "passage").collect()}
+    assert got == want
+    assert K.find_leaks(d.limit(0), "doc_id", "text", it, "item_id", "passage").count() == 0
+    assert K.find_leaks(d, "doc_id", "text", it.limit(0), "item_id", "passage").count() == 0
+
+
+def test_blocks_give_the_same(spark, tiny, monkeypatch):
+    items = spark.read.parquet(f"{tiny}/eval_items.parquet")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    one = sorted(map(tuple, K.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(K, "BLOCK_CHARS", 9000)
+    many = sorted(map(tuple, K.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").select("doc_id", "item_id").collect()))
+    assert one == many and one
+
+
+def test_held_out_accuracy(small):
+    rows = duckdb.sql(f"select text, lang from '{small}/documents.parquet' where text is not null and lang in ('zh','en','de','fr','es','pt','ja','ko') order by doc_id").fetchall()
+    rows = [(t, lang) for t, lang in rows if len(t) >= 40]
+    fit, held = rows[::2], rows[1::2]
+    p = G.fit([t[:4000] for t, _ in fit], [G.LANGS.index(lang) for _, lang in fit])
+    out = G.detect(p, [t for t, _ in held])
+    single = [(G.LANGS[o[0][0]], lang) for o, (_, lang) in zip(out, held, strict=True) if len(o) == 1]
+    assert sum(a == b for a, b in single) / len(single) > 0.85  # about a tenth of the labels are wrong
+
+
+def test_edges_of_language(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    mixed = "工作人员通过资料复核确认，路灯连续多日不亮。请申请人完成自查。Most cases are closed within eight working days, and you will be told if it takes longer."
+    odd = [(-1, None, "zh"), (-2, "", None), (-3, "12345 ... 66%", "en"), (-4, mixed, "zh"), (-5, "Die meisten Fälle werden innerhalb von vierzig Werktagen abgeschlossen und beantwortet.", "und")]
+    df = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {}
+    for r in G.label_documents(df, "doc_id", "text", "lang").filter("doc_id < 0").collect():
+        got.setdefault(r["doc_id"], {})[r["seg_no"]] = r["lang_code"]
+    assert got == {-4: {0: "zh" if sum("一" <= c <= "鿿" for c in mixed) * 2 > sum(c.isascii() and c.isalpha() for c in mixed) else "en", 1: "zh", 2: "en"}, -5: {0: "de"}}
+    assert G.label_documents(df.limit(0), "doc_id", "text", "lang").count() == 0

