@@ -270,11 +270,11 @@ def c8_as_list(spark, d):
     return once(c, "id").select("id", as_list("expected.location").alias("places"))
 
 
-@fam.query("select vec_id, round(list_sum(list_transform(embedding, lambda x: round(cast(x as double) * 10000) / 10000)), 3) as total from embeddings")
+@fam.query("select vec_id, round(list_sum(list_transform(embedding, lambda x: round(cast(x as double) * 10000) / 10000)), 2) as total from embeddings")
 def c9_round_deep(spark, d):
     (e,) = tables(spark, d, "embeddings")
     s = F.aggregate(F.transform("embedding", lambda x: F.round(x.cast("double") * 10000) / 10000), F.lit(0.0), lambda a, x: a + x)
-    return e.select("vec_id", F.round(s, 3).alias("total"))
+    return e.select("vec_id", F.round(s, 2).alias("total"))
 
 
 @fam.query("select distinct case_id, replace('Matter: {matter}', '{matter}', coalesce(elements.event, '')) as step from workorders")
