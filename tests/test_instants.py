@@ -70,6 +70,17 @@ def test_values(spark, senders):
             assert got[i] == (want, status), (v, s)
 
 
+def test_session_zone_does_not_matter(spark, senders):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2025-03-09 24:00:00", "ny"), ("2025-03-30T02:30:00.5", "sh"), ("2025-03-30 02:30", "be")], "v string, src string")
+        got = [(r["utc_us"], r["status"]) for r in normalise_instants(df, "v", "src", senders).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(got, key=str) == sorted([(us(2025, 3, 10, 4), "ok"), (us(2025, 3, 29, 18, 30, 0, 500000), "ok"), (None, "skipped")], key=str)
+
+
 def test_undeclared_order_learned_from_the_source(spark, senders):
     """A source without declared order: its clear values decide the unclear ones; without any, they stay marked."""
     more = senders.unionByName(spark.createDataFrame([("q", "UTC", None), ("r", "UTC", None)], senders.schema))

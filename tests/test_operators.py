@@ -150,3 +150,18 @@ def test_file_sources(spark, tmp_path):
     assert [r["row"] for r in rows] == [{"编号": "7", "类别": "A"}, {"编号": "8", "类别": None}]
     lines = spark.createDataFrame([('{"a": 1}',), ("",), ('{"a": ',), ('{"b": 2}',)], "value string")
     assert sorted(str(r["a"]) for r in files.read_jsonl(lines, "value", "a int").collect()) == ["1", "None"]
+
+
+def test_hooks(spark):
+    from tidewell.functions import hooks
+
+    df = spark.createDataFrame([("路灯 不亮", ["甲文", "乙文"]), ("", []), (None, None)], "q string, c array<string>")
+    rows = df.select(hooks.get("embed")(F.col("q")).alias("v"), hooks.get("answer")(F.col("q"), F.col("c")).alias("a")).collect()
+    assert abs(sum(x * x for x in rows[0]["v"]) - 1) < 1e-9 and rows[1]["v"] is None and rows[2]["v"] is None
+    assert [r["a"] for r in rows] == ["1. 甲文\n2. 乙文", "", None]
+    cells = {r["c"]["i"]: r["s"] for r in df.limit(1).select(F.explode(retrieval.hash_vector(F.col("q"))).alias("c")).groupBy("c.i").agg(F.sum("c.s").alias("s"), F.first("c").alias("c")).collect()}
+    n = sum(v * v for v in cells.values()) ** 0.5
+    assert all(abs(rows[0]["v"][i] - v / n) < 1e-9 for i, v in cells.items())
+    hooks.use("rerank", lambda score, query, content: score * 2)
+    assert df.limit(1).select(hooks.get("rerank")(F.lit(1.5), F.col("q"), F.col("q")).alias("s")).first()["s"] == 3.0
+    hooks._providers.clear()

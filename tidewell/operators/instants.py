@@ -250,7 +250,7 @@ def normalise_instants(
     out = computed(
         out,
         _tw_rg=F.when(F.col("_tw_off").isNull(), F.when(F.col("_tw_rg0").isin(_zone_ids()), F.col("_tw_rg0"))),
-        _tw_wall=F.when(date_ok & F.col("_tw_clock"), F.expr("try_make_timestamp(_tw_y, _tw_mo, _tw_da, _tw_h % 24, _tw_mi, cast(_tw_s as decimal(8,6)), 'UTC') + make_interval(0, 0, 0, _tw_h div 24, 0, 0, _tw_us / 1000000d)")),
+        _tw_wall=F.when(date_ok & F.col("_tw_clock"), F.expr("try_make_timestamp(_tw_y, _tw_mo, _tw_da, _tw_h % 24, _tw_mi, cast(_tw_s as decimal(8,6)), 'UTC') + make_interval(0, 0, 0, 0, 24 * (_tw_h div 24), 0, _tw_us / 1000000d)")),
     )
     rg = F.coalesce(F.col("_tw_rg"), F.lit("UTC"))
     out = computed(out, _tw_utc=F.to_utc_timestamp("_tw_wall", rg))

@@ -98,12 +98,12 @@ def p_13_restricted_fields(spark, d):
     return spark.createDataFrame(rows, "tbl string, restricted long")
 
 
-@fam.query("select doc_id, (row_number() over (order by n_chars desc, doc_id))::int as place from documents where dept_id in ('dept_eco', 'dept_health') and doc_type = 'policy'")
+@fam.query("select doc_id, (row_number() over (partition by dept_id order by n_chars desc, doc_id))::int as place from documents where dept_id in ('dept_eco', 'dept_health') and doc_type = 'policy'")
 def p_14_rule_order(spark, d):
-    """Rules in scope, by priority: a ranged sort, then numbers within one small result."""
+    """Rules in scope, numbered by priority within their department."""
     (x,) = tables(spark, d, "documents")
-    y = x.filter(F.col("dept_id").isin("dept_eco", "dept_health") & (F.col("doc_type") == "policy")).select("doc_id", "n_chars")
-    return y.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).select("doc_id", "place")
+    y = x.filter(F.col("dept_id").isin("dept_eco", "dept_health") & (F.col("doc_type") == "policy")).select("dept_id", "doc_id", "n_chars")
+    return y.withColumn("place", F.row_number().over(Window.partitionBy("dept_id").orderBy(F.desc("n_chars"), "doc_id"))).select("doc_id", "place")
 
 
 @fam.query("select vec_id, event_id is not null as seen from embeddings left join (select distinct user_id, min(event_id) as event_id from events group by 1) on vec_id = user_id")
@@ -630,3 +630,82 @@ def h5_snapshots(spark, d):
     (x,) = tables(spark, d, "documents")
     both = x.select(F.lit("a").alias("snapshot"), "doc_id").unionByName(x.filter("doc_type <> 'case'").select(F.lit("b").alias("snapshot"), "doc_id"))
     return materialise(both, "h5").groupBy("snapshot").agg(F.count("*").alias("n"))
+
+
+# --- what the inventory lists under several names -----------------------------------------------------------------
+
+
+@fam.query(f"with {_BM25} select item_id, count(*) as scored, round(max(score), 4) as best from sc group by item_id")
+def m1_bm25_scores(spark, d):
+    """How many documents each query scores, and its best score."""
+    x, q = tables(spark, d, "documents", "eval_items")
+    s = R.bm25(x.filter("text is not null"), "doc_id", "text", q, "item_id", "query")
+    return s.groupBy("item_id").agg(F.count("*").alias("scored"), F.round(F.max("score"), 4).alias("best"))
+
+
+@fam.query("select vec_id, round(list_sum(list_transform(embedding, lambda x: (x::double) / n * (x::double) / n)), 6) as length2 from (select vec_id, embedding, coalesce(nullif(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 0), 1) as n from embeddings)")
+def m2_normalise(spark, d):
+    """Vectors brought to length 1 (a zero vector stays), and their squared length."""
+    (e,) = tables(spark, d, "embeddings")
+    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    x = e.withColumn("n", F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(1.0))).withColumn("u", F.transform("embedding", lambda v: v.cast("double") / F.col("n")))
+    return x.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, v: a + v * v), 6).alias("length2"))
+
+
+@fam.query("with r as (select user_id, event_type, row_number() over (partition by user_id order by n desc, event_type) as a, row_number() over (partition by user_id order by v desc, event_type) as b from (select user_id, event_type, count(*) as n, round(sum(value), 3) as v from events group by 1, 2)) select user_id, event_type, round(1.0 / (60 + a) + 1.0 / (60 + b), 8)::double as score from r")
+def m4_rank_fusion(spark, d):
+    """Two orders of one set, fused."""
+    (e,) = tables(spark, d, "events")
+    g = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("v"))
+    one = R.top_k(g, "user_id", "event_type", 1000, "n")
+    two = R.top_k(g, "user_id", "event_type", 1000, "v")
+    return R.fuse([one, two], "user_id", "event_type").withColumn("score", F.round("score", 8))
+
+
+@fam.query("select doc_id, round(case doc_type when 'policy' then 1.0 when 'guide' then 0.9 when 'notice' then 0.8 when 'faq' then 0.65 else 0.4 end * 0.5, 4)::double as weight from documents")
+def m14_authority(spark, d):
+    (x,) = tables(spark, d, "documents")
+    weights = F.create_map(*[F.lit(v) for kv in (("policy", 1.0), ("guide", 0.9), ("notice", 0.8), ("faq", 0.65)) for v in kv])
+    return x.select("doc_id", F.round(F.coalesce(F.try_element_at(weights, F.col("doc_type")), F.lit(0.4)) * 0.5, 4).alias("weight"))
+
+
+@fam.query()
+def m16_match_ratio(spark, d):
+    from tidewell.functions.metrics import match_ratio
+
+    x = _orders(spark, d)
+    return x.select("case_id", F.round(match_ratio(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))), 6).alias("ratio"))
+
+
+@fam.query("select d.doc_id, list_sort(['notice', 'guide', 'faq', 'policy', 'case'][list_position(['notice', 'guide', 'faq', 'policy', 'case'], doc_type) + 1:]) as later from documents d where doc_type is not null")
+def d11_difference(spark, d):
+    """What of an expected list comes after a value."""
+    (x,) = tables(spark, d, "documents")
+    kinds = F.array(*map(F.lit, ["notice", "guide", "faq", "policy", "case"]))
+    at = F.array_position(kinds, F.col("doc_type")).cast("int")
+    return x.filter("doc_type is not null").select("doc_id", F.array_sort(F.slice(kinds, at + 1, 5)).alias("later"))
+
+
+@fam.query("select page_id, page_id % 5 <> 0 as indexed from (select distinct page_id from parsed_documents)")
+def x15_reindex(spark, d):
+    """Derived rows recomputed from the status of their document."""
+    (p,) = tables(spark, d, "parsed_documents")
+    gone = p.filter("page_id % 5 = 0").select("page_id")
+    base = p.select("page_id").distinct()
+    return T.delete(base, gone, ["page_id"]).withColumn("indexed", F.lit(True)).unionByName(base.join(gone, "page_id", "left_semi").withColumn("indexed", F.lit(False)))
+
+
+@fam.query("select event_type, count(*) as n, round(avg((value > 10)::int), 6) as success from events where event_type in ('click', 'view') group by 1")
+def v16_backtest(spark, d):
+    """Success of the rows a trigger would have caught."""
+    (e,) = tables(spark, d, "events")
+    return e.filter(F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > 10).cast("int")), 6).alias("success"))
+
+
+@fam.query("select id, (len(expected.event) > 0)::int + (len(expected.request) > 0)::int + (len(expected.location) > 0)::int as filled, round(((coalesce(len(expected.event), 0) > 0)::int + (coalesce(len(expected.request), 0) > 0)::int + (coalesce(len(expected.location), 0) > 0)::int) / 3.0, 4)::double as share from " + C + " where expected.event is not null and expected.request is not null and expected.location is not null")
+def v3_completeness(spark, d):
+    """Filled fields of each record and their share."""
+    (c,) = tables(spark, d, "intake_cases")
+    x = once(c, "id").filter("expected.event is not null and expected.request is not null and expected.location is not null")
+    n = sum(((F.size(f"expected.{k}") > 0).cast("int") for k in ("event", "request", "location")), F.lit(0))
+    return x.select("id", n.alias("filled"), F.round(n / 3.0, 4).alias("share"))

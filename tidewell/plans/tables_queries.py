@@ -86,12 +86,13 @@ def s9_csv(spark, d):
     return spark.read.csv(path, header=True, schema="dept_id string, name string, name_en string, category string")
 
 
-@fam.query("select category, sha256(string_agg(content_sha256, '|' order by record_id)) as fingerprint, count(*) as n from (select distinct category, record_id, content_sha256 from manifest) group by category")
+@fam.query("select category, bit_xor(('0x' || substr(sha256(record_id || '|' || content_sha256), 1, 15))::bigint) as fingerprint, count(*) as n from (select distinct category, record_id, content_sha256 from manifest) group by category")
 def s14_fingerprint(spark, d):
+    """Fingerprint of a group whatever its size: hashes of the rows, combined by a mergeable aggregate."""
     (m,) = tables(spark, d, "manifest")
     rows = m.select("category", "record_id", "content_sha256").distinct()
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("record_id", "content_sha256"))), lambda x: x["content_sha256"])
-    return rows.groupBy("category").agg(F.sha2(F.array_join(ordered, "|"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("record_id").cast("string"), "content_sha256"), 256), 1, 15), 16, 10).cast("bigint")
+    return rows.groupBy("category").agg(F.bit_xor(h).alias("fingerprint"), F.count("*").alias("n"))
 
 
 @fam.query("""
@@ -199,7 +200,7 @@ def d8_set_ratios(spark, d):
 
     (w,) = tables(spark, d, "workorders")
     t = w.select("case_id", F.array_distinct("elements.subjects").alias("a")).distinct().filter("a is not null")
-    ref = t.filter("case_id like '%0'").agg(F.array_distinct(F.flatten(F.collect_set("a"))).alias("b"))
+    ref = t.filter("case_id like '%0'").select(F.explode("a").alias("x")).distinct().agg(F.collect_list("x").alias("b"))
     both = t.join(ref)  # one row
     return both.select("case_id", F.round(overlap("a", "b"), 4).alias("overlap"), F.round(jaccard("a", "b"), 4).alias("jaccard"), F.size(F.array_except("b", "a")).cast("bigint").alias("missing"))
 
@@ -242,10 +243,11 @@ def c4_explode(spark, d):
 
 @fam.query("select user_id, list(event_id order by ts, event_id)[-5:] as last5, list(event_id order by ts, event_id)[1] as head from events group by user_id")
 def c5_cap_append(spark, d):
-    """The last five of an ordered list, and its head."""
+    """The last five of an ordered list, and its head; the list itself is never built."""
     (e,) = tables(spark, d, "events")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"])
-    return e.groupBy("user_id").agg(ids.alias("ids")).select("user_id", F.slice("ids", F.greatest(F.lit(1), F.size("ids") - 4), 5).alias("last5"), F.element_at("ids", 1).alias("head"))
+    last = T.top(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "event_id"))), lambda x: x["event_id"]).alias("last5"))
+    head = e.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("head"))
+    return last.join(head, "user_id")
 
 
 @fam.query("select event_id, cast(json_extract(props, '$.k') as int) as k, user_id * 2 as doubled from events")
