@@ -68,5 +68,8 @@ def test_edges_of_language(spark, small):
     got = {}
     for r in G.label_documents(df, "doc_id", "text", "lang").filter("doc_id < 0").collect():
         got.setdefault(r["doc_id"], {})[r["seg_no"]] = r["lang_code"]
+    joined = "Chaque photo ne doit pas dépasser quarante mégaoctets et doit rester lisible.🇨🇿A maioria dos processos é concluída em quarenta dias úteis.Wer mit der Antwort nicht einverstanden ist, kann eine Überprüfung verlangen."
+    texts, labels = G.sample_labelled(docs, "doc_id", "text", "lang")
+    assert [G.LANGS[x[0]] for x in G.detect(G.fit(texts, labels), [joined])[0]] == ["fr", "pt", "de"]
     assert got == {-4: {0: "zh" if sum("一" <= c <= "鿿" for c in mixed) * 2 > sum(c.isascii() and c.isalpha() for c in mixed) else "en", 1: "zh", 2: "en"}, -5: {0: "de"}}
     assert G.label_documents(df.limit(0), "doc_id", "text", "lang").count() == 0

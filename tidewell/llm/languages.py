@@ -12,7 +12,7 @@ Profiles are fitted on a bounded sample of labelled documents (``sample_docs`` a
 hash of the key): fit, let the profiles relabel the sample, and fit again, twice, so that wrong
 labels drop out.  Everything else reads every document whole.
 
-Sentences end at 。！？!?… , at a full stop before a blank or a capital letter, and at line ends.  Sentences with hardly
+Sentences end at 。！？!?… , at a full stop before anything but a small letter or a digit, and at line ends.  Sentences with hardly
 a letter, and short ones whose lead is small, take the language of the stretch they stand in.
 
 Defined results: null, empty and wordless texts give no rows; unknown label spellings count as
@@ -113,7 +113,8 @@ def read(texts: list[str | None]) -> Text:
     end = np.isin(flat, np.array([ord(c) for c in _ENDS], np.uint32))
     dot = np.nonzero(flat == ord("."))[0]
     nxt = np.minimum(dot + 1, len(flat) - 1)
-    blank = (flat[nxt] == 32) | (flat[nxt] == 10) | (flat[nxt] == 13) | (flat[nxt] == 9) | (dot + 1 >= len(flat)) | first[nxt]
+    word = (kind[flat[nxt]] > 0) | ((flat[nxt] >= 48) & (flat[nxt] <= 57))  # odd code points may stand for the blank
+    blank = ~word | (dot + 1 >= len(flat)) | first[nxt]
     end[dot[blank]] = True
     # sentences of two languages may be joined without a blank: a stop between a small and a capital letter
     inner = dot[(dot > 0) & (dot + 1 < len(flat))]
