@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -126,16 +127,21 @@ class Encoder:
             u = c.encode()
             return not any(u[k:] in ends for k in range(len(u))) and not any(u[:k] in heads for k in range(1, len(u) + 1))
 
-        spans, start = [], None
-        for cp in [*range(0x2E80, 0xD800), 0xD800]:
-            ok = cp < 0xD800 and lonely(chr(cp))
-            if ok and start is None:
-                start = cp
-            elif not ok and start is not None:
-                spans.append((start, cp - 1))
-                start = None
-        cls = "".join(f"{chr(a)}-{chr(b)}" if b > a else chr(a) for a, b in spans)
-        self.parts = regex.compile(f"[{cls}]|[^{cls}]+") if cls else regex.compile(r"(?s).+")
+        self.lonely = frozenset(c for c in map(chr, range(0x2E80, 0xD800)) if lonely(c))
+
+    def parts(self, piece: str) -> list[str]:
+        """A run cut around its code points that nothing straddles."""
+        lonely = self.lonely
+        out, at = [], 0
+        for i, c in enumerate(piece):
+            if c in lonely:
+                if at < i:
+                    out.append(piece[at:i])
+                out.append(c)
+                at = i + 1
+        if at < len(piece):
+            out.append(piece[at:])
+        return out
 
     def encode_piece(self, piece: str) -> list[int]:
         b = piece.encode().decode("latin-1") if not piece.isascii() else piece
@@ -161,14 +167,15 @@ class Encoder:
         if got is not None:
             return got
         if len(piece) > 1 and not piece.isascii():
-            parts = self.parts.findall(piece)
+            parts = self.parts(piece)
             if len(parts) > 1:
-                got = []
-                for p in parts:
-                    one = memo.get(p)
-                    if one is None:
-                        one = self._keep(p, self.encode_piece(p))
-                    got += one
+                try:
+                    got = list(chain.from_iterable(map(memo.__getitem__, parts)))
+                except KeyError:
+                    got = []
+                    for p in parts:
+                        one = memo.get(p)
+                        got += self._keep(p, self.encode_piece(p)) if one is None else one
                 return self._keep(piece, got)
         return self._keep(piece, self.encode_piece(piece))
 
