@@ -204,7 +204,7 @@ def k3_two_stages(spark, d):
 _AUTH = "case doc_type when 'policy' then 1.0 when 'guide' then 0.9 when 'notice' then 0.8 when 'faq' then 0.65 else 0.4 end"
 
 
-@fam.query(f"select dept_id, doc_id, round(w, 4)::double as weight, r::int as rank from (select *, row_number() over (partition by dept_id order by round(w, 6) desc, doc_id) as r from (select dept_id, doc_id, {_AUTH} * n_chars / 1000.0 as w from documents where n_chars > 0)) where r <= 8")
+@fam.query(f"select dept_id, doc_id, round(w, 6) as weight, r::int as rank from (select *, row_number() over (partition by dept_id order by round(w, 6) desc, doc_id) as r from (select dept_id, doc_id, ({_AUTH})::double * n_chars / 1000 as w from documents where n_chars > 0)) where r <= 8")
 def k7_recall(spark, d):
     """The eight best a department by relevance times authority."""
     (x,) = tables(spark, d, "documents")
@@ -212,7 +212,7 @@ def k7_recall(spark, d):
     a = F.when(kind == "policy", 1.0).when(kind == "guide", 0.9).when(kind == "notice", 0.8).when(kind == "faq", 0.65).otherwise(0.4)
     w = x.filter("n_chars > 0").select("dept_id", "doc_id", (a * F.col("n_chars") / 1000.0).alias("w"))
     t = T.top(w, ["dept_id"], [F.desc(F.round("w", 6)), F.col("doc_id")], 8)
-    return t.select("dept_id", "doc_id", F.round("w", 4).alias("weight"), "rank")
+    return t.select("dept_id", "doc_id", F.round("w", 6).alias("weight"), "rank")
 
 
 @fam.query(f"select case_id, r::int as place from (select case_id, row_number() over (partition by dept_id order by contains(coalesce(t, ''), '电梯') desc, clarity desc nulls last, case_id) as r from {W}) where r <= 8")
@@ -329,13 +329,13 @@ def t5_age(spark, d):
     return e.select("event_id", (F.col("ts") + F.expr("INTERVAL 14 DAY") < F.lit("2024-01-20").cast("timestamp_ntz")).alias("stale"), age.alias("age_ms"))
 
 
-@fam.query("select dept_id, round(least(0.95, greatest(0.5, 0.6 + 0.08 * (n > 20)::int + 0.001 * n)), 2)::double as confidence, round(least(0.95, 0.6 + 0.1 * k), 2)::double as by_words, round(least(0.95, 0.5 + 0.02 * n), 2)::double as by_size from (select dept_id, count(*) as n, count(distinct doc_type) as k from documents group by 1)")
+@fam.query("select dept_id, round(least(0.95, greatest(0.5, 0.6 + 0.08 * (n > 20)::int + 0.001 * n)), 4)::double as confidence, round(least(0.95, 0.6 + 0.1 * k), 4)::double as by_words, round(least(0.95, 0.5 + 0.02 * n), 4)::double as by_size from (select dept_id, count(*) as n, count(distinct doc_type) as k from documents group by 1)")
 def m10_confidences(spark, d):
     """Confidence formulas, clamped and rounded."""
     (x,) = tables(spark, d, "documents")
     g = x.groupBy("dept_id").agg(F.count("*").alias("n"), F.count_distinct("doc_type").alias("k"))
     n = F.col("n")
-    return g.select("dept_id", F.round(ST.clamp(0.6 + 0.08 * (n > 20).cast("int") + 0.001 * n, 0.5, 0.95), 2).alias("confidence"), F.round(F.least(F.lit(0.95), 0.6 + 0.1 * F.col("k")), 2).alias("by_words"), F.round(F.least(F.lit(0.95), 0.5 + 0.02 * n), 2).alias("by_size"))
+    return g.select("dept_id", F.round(ST.clamp(0.6 + 0.08 * (n > 20).cast("int") + 0.001 * n, 0.5, 0.95), 4).alias("confidence"), F.round(F.least(F.lit(0.95), 0.6 + 0.1 * F.col("k")), 4).alias("by_words"), F.round(F.least(F.lit(0.95), 0.5 + 0.02 * n), 4).alias("by_size"))
 
 
 @fam.query("select event_id, levenshtein(event_type, 'purchase')::int as distance from events")
