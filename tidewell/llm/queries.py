@@ -79,7 +79,7 @@ def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every item that is too long; repeated pages count once."""
     items = p5_items(spark, sf_dir)
-    limits = table(spark, sf_dir, "chunk_limits").dropDuplicates(["item_type"])
+    limits = table(spark, sf_dir, "chunk_limits").select("item_type", "max_chars", "overlap_chars").dropDuplicates(["item_type"])
     over = items.join(limits, "item_type").filter(F.length("text") > F.col("max_chars")).dropDuplicates(["page_id", "src", "block_no"])
     return S.split_oversized(over, ["src", "page_id", "block_no"], "text", "max_chars", "overlap_chars")
 
