@@ -165,3 +165,32 @@ def test_hooks(spark):
     hooks.use("rerank", lambda score, query, content: score * 2)
     assert df.limit(1).select(hooks.get("rerank")(F.lit(1.5), F.col("q"), F.col("q")).alias("s")).first()["s"] == 3.0
     hooks._providers.clear()
+
+
+def test_near_pairs_and_clusters_of_all_rows(spark, tmp_path):
+    rng = random.Random(6)
+    vecs = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(150)]
+    vecs = [v if i % 3 else [x + rng.gauss(0, 0.2) for x in vecs[i // 3]] for i, v in enumerate(vecs)]
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    df = spark.createDataFrame([(i, v, i % 4) for i, v in enumerate(vecs)] + [(900, None, 0), (901, [1.0], 0)], "vec_id int, embedding array<double>, label int")
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.5}
+    for block in (16, 4096):
+        pairs = retrieval.near_pairs(df, "vec_id", "embedding", 0.5, block=block).select("a", "b").collect()
+        assert sorted(map(tuple, pairs)) == sorted(want)
+    forest = retrieval.near_pairs(df, "vec_id", "embedding", 0.5, forest=True, block=16)
+    one, two = (graphs.components(g, "a", "b", lambda d: materialise(d, "t")).collect() for g in (forest, spark.createDataFrame(list(want), "a int, b int")))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    assert retrieval.near_pairs(df.limit(0), "vec_id", "embedding", 0.5).count() == 0
+
+    import __spark_entry__ as entry
+
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = [(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.1]
+    got = {r["vec_id"]: r["cluster"] for r in entry.queries()["q1_clusters_all"](spark, str(tmp_path)).collect()}
+    want = graphs.components(spark.createDataFrame(near, "a int, b int"), "a", "b", lambda d: materialise(d, "t")).collect()
+    assert got == {r["vertex"]: r["component"] for r in want} and len(got) > 100
+    got = entry.queries()["j23_near_pairs_all"](spark, str(tmp_path)).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.05]

@@ -4,7 +4,8 @@ BM25: an inverted index as tables (postings, document lengths, document frequenc
 joined with the terms of all queries at once; corpus statistics cover all documents.
 Vectors: the query set goes to every task in blocks of bounded size, each corpus partition keeps its
 own best k a query (a matrix product per batch), and one window merges them: the shuffle is k rows a
-query and partition, never a pair of every row with every other.
+query and partition, never a pair of every row with every other.  Where every row is to meet every
+other (``near_pairs``), blocks of rows do, and only near pairs leave a task.
 
 Null and empty texts have no terms; vectors of another length than the query's are skipped; ties go
 to the smaller id.
@@ -23,6 +24,7 @@ from tidewell.functions.text import tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK = 4096
+PAIR_BLOCK = 4096
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -127,6 +129,54 @@ def vector_within(corpus: DataFrame, key: str, vector: str, queries: DataFrame,
     return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
 
 
+def near_pairs(df: DataFrame, key: str, vector: str, least: float, forest: bool = False, block: int = PAIR_BLOCK) -> DataFrame:
+    """a, b, score of all pairs of rows (a < b) whose cosine is at least ``least``: exact, every row against every other.
+
+    Rows are dealt into blocks of about ``block``; each two blocks of vectors of one length meet in one task, where
+    only near pairs are kept. forest: of those, each task keeps a spanning forest, which joins the same rows into the
+    same components with fewer rows than it was given, so that dense graphs stay small.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("dim")).filter(F.col("k").isNotNull() & (F.col("dim") > 0))
+    blocks = max(1, -(-rows.count() // block))
+    side = rows.withColumn("side", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = side.select("k", "v", "side", "dim", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        left, right = pdf[pdf["side"] == x], pdf[pdf["side"] == y]
+        keys, others = left["k"].to_numpy(dtype=object), right["k"].to_numpy(dtype=object)
+        m, w = (unit(np.stack(p["v"].to_list()).astype(np.float64)) if len(p) else None for p in (left, right))
+        parts = []
+        root: dict = {}
+
+        def find(n: object) -> object:
+            while root.setdefault(n, n) != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        for a in range(0, len(keys), 512) if m is not None and w is not None else ():
+            s = m[a : a + 512] @ w.T
+            i, j = np.nonzero(np.round(s, 9) >= least)
+            score, p, q = s[i, j], keys[a + i], others[j]
+            ok = (p < q).astype(bool) if x == y else (p != q).astype(bool)
+            p, q, score = p[ok], q[ok], score[ok]
+            if forest:
+                kept = []
+                for n, (u, v) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                    u, v = find(u), find(v)
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        kept.append(n)
+                p, q, score = p[kept], q[kept], score[kept]
+            low = (p < q).astype(bool)
+            parts.append(pd.DataFrame({"a": np.where(low, p, q), "b": np.where(low, q, p), "score": score}))
+        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    return dealt.groupBy("x", "y", "dim").applyInPandas(near, f"a {kind}, b {kind}, score double")
+
+
 def prototype_scores(corpus: DataFrame, key: str, vector: str, prototypes: DataFrame, proto: str, label: str, proto_vector: str, n: int, most: int = 50_000) -> DataFrame:
     """key, label, score: mean cosine to the n nearest prototypes of each label, a row not counting as its own prototype.
 

@@ -137,6 +137,13 @@ def j23_near_pairs(spark, d):
     return R.vector_within(some, "vec_id", "embedding", q, "a", "q", 0.05).filter("a < vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
+@fam.query("with q as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round(1 - list_cosine_similarity(a.v, b.v), 6) as distance from q a join q b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.v, b.v), 9) >= 0.05")
+def j23_near_pairs_all(spark, d):
+    """Near pairs of all rows, each against every other; the threshold works inside the tasks."""
+    (e,) = tables(spark, d, "embeddings")
+    return R.near_pairs(e, "vec_id", "embedding", 0.05).select("a", "b", F.round(1 - F.col("score"), 6).alias("distance"))
+
+
 @fam.query("select dept_id, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.75) as q3 from documents group by dept_id")
 def a9_linear_percentile(spark, d):
     (x,) = tables(spark, d, "documents")

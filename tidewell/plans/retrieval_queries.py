@@ -145,6 +145,14 @@ def q1_clusters(spark, d):
     return G.components(near, "query_id", "vec_id", lambda df: materialise(df, "q1")).select(F.col("vertex").alias("vec_id"), F.col("component").alias("cluster"))
 
 
+@fam.query()
+def q1_clusters_all(spark, d):
+    """Density clusters of all vectors; every row meets every other, and tasks return spanning forests of their edges."""
+    (e,) = tables(spark, d, "embeddings")
+    near = materialise(R.near_pairs(e, "vec_id", "embedding", 0.1, forest=True), "q1_edges")
+    return G.components(near, "a", "b", lambda df: materialise(df, "q1")).select(F.col("vertex").alias("vec_id"), F.col("component").alias("cluster"))
+
+
 @fam.query("select grp, count(*) as n from (select regexp_extract(lower(title), '[一-鿿]|[a-z0-9]+', 0) as grp from documents where title is not null) where grp <> '' group by grp having count(*) >= 2")
 def q2_first_token_groups(spark, d):
     (x,) = tables(spark, d, "documents")
