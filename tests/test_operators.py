@@ -194,3 +194,15 @@ def test_near_pairs_and_clusters_of_all_rows(spark, tmp_path):
     assert got == {r["vertex"]: r["component"] for r in want} and len(got) > 100
     got = entry.queries()["j23_near_pairs_all"](spark, str(tmp_path)).select("a", "b").collect()
     assert sorted(map(tuple, got)) == [(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.05]
+
+
+CALLS = "call_id string, seg_idx int, start_sec double, end_sec double"
+
+
+def test_frames_to_the_end_of_the_call(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [("a", 0, 0.0, 2.0), ("a", 1, 70.2, 72.0), ("a", 1, 70.2, 72.0), ("b", 0, 3.0, 4.0), ("c", 0, 0.0, None), ("d", 0, None, 9.0)]
+    spark.createDataFrame(rows, CALLS).write.parquet(f"{tmp_path}/transcript_segments.parquet")
+    got = entry.queries()["j16_point_in_interval_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("a", 0.5, 0), ("a", 1.5, 0), ("a", 70.5, 1), ("a", 71.5, 1), ("b", 3.5, 0)]

@@ -133,6 +133,19 @@ def j16_point_in_interval(spark, d):
     return J.point_in_interval(frames, "t", s, "start_sec", "end_sec", ["call_id"], 8.0).groupBy("call_id", "t").agg(F.min("seg_idx").alias("seg_idx"))
 
 
+@fam.query(f"""
+    with f as (select call_id, unnest(range(0, ceil(most)::bigint)) * 1.0 + 0.5 as t from (select call_id, max(end_sec) as most from {SEG} group by 1))
+    select f.call_id, cast(t as double) as t, min(seg_idx) as seg_idx from f join {SEG} s on f.call_id = s.call_id and start_sec <= t and t < end_sec group by 1, 2
+""")
+def j16_point_in_interval_all(spark, d):
+    """Frames (one a second, to the end of the call) with the first segment that holds them."""
+    (s,) = tables(spark, d, "transcript_segments")
+    s = once(s.filter("start_sec is not null"), "call_id", "seg_idx").select("call_id", "seg_idx", "start_sec", "end_sec")
+    ends = s.groupBy("call_id").agg(F.ceil(F.max("end_sec")).alias("most")).filter("most > 0")
+    frames = ends.select("call_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") - 1)).alias("t")).withColumn("t", (F.col("t") + 0.5).cast("double"))
+    return J.point_in_interval(frames, "t", s, "start_sec", "end_sec", ["call_id"], 8.0).groupBy("call_id", "t").agg(F.min("seg_idx").alias("seg_idx"))
+
+
 @fam.query(f"""
     with s as {SEG} select a.call_id, a.seg_idx, round(sum(least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec)), 4) as shared, count(*) as n
     from s a join s b on a.call_id = b.call_id and a.seg_idx % 2 = 0 and b.seg_idx % 2 = 1 and least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec) > 0.05 group by 1, 2
