@@ -206,3 +206,30 @@ def test_frames_to_the_end_of_the_call(spark, tmp_path):
     spark.createDataFrame(rows, CALLS).write.parquet(f"{tmp_path}/transcript_segments.parquet")
     got = entry.queries()["j16_point_in_interval_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("a", 0.5, 0), ("a", 1.5, 0), ("a", 70.5, 1), ("a", 71.5, 1), ("b", 3.5, 0)]
+
+
+def test_segments_and_cases_against_all_others(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    rows = [(k, i, float(rng.randrange(12)), 0.0) for k in "ab" for i in range(20)]
+    rows = [(k, i, s, s + rng.randrange(1, 5)) for k, i, s, _ in rows] + [("c", 0, 1.0, 2.0), ("d", 0, 0.0, 4.0), ("d", 2, 1.0, 3.0)]
+    spark.createDataFrame(rows, CALLS).write.parquet(f"{tmp_path}/transcript_segments.parquet")
+    got = {(r["call_id"], r["seg_idx"], r["c"], r["rank"]) for r in entry.queries()["j15_nearest_all"](spark, str(tmp_path)).collect()}
+    want = set()
+    for k, i, t, _ in rows:
+        other = sorted({s for kk, j, s, _ in rows if kk == k and j != i}, key=lambda c: (abs(c - t), c))
+        want |= {(k, i, c, n) for n, c in enumerate(other[:5], 1)}
+    assert got == want
+    got = {tuple(r[c] for c in ("call_id", "seg_idx", "shared", "n")) for r in entry.queries()["j17_overlap_all"](spark, str(tmp_path)).collect()}
+    want = set()
+    for k, i, s, e in rows:
+        both = [min(e, v) - max(s, u) for kk, j, u, v in rows if kk == k and j != i and min(e, v) > max(s, u)]
+        want |= {(k, i, sum(both), len(both))} if both else set()
+    assert got == want and ("d", 2, 2.0, 1) in got
+
+    cases = [("W10", "abcd"), ("W20", "abcd"), ("W21", "abxx"), ("W30", "zzzz"), ("W11", "cdyy")]
+    df = spark.createDataFrame([(c, (t,)) for c, t in cases], "case_id string, elements struct<event:string>")
+    df.write.parquet(f"{tmp_path}/workorders.parquet")
+    got = {(r["case_id"], r["match"], r["shared"]) for r in entry.queries()["r7_history_all"](spark, str(tmp_path)).collect()}
+    assert got == {("W10", "W20", 3), ("W10", "W21", 1), ("W10", "W11", 1), ("W20", "W10", 3), ("W20", "W21", 1), ("W20", "W11", 1)}

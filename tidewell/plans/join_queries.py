@@ -121,6 +121,21 @@ def j15_nearest(spark, d):
     return J.nearest(p, w, ["call_id"], "t", "c", 5, "seg_idx")
 
 
+@fam.query(f"""
+    with s as {SEG}, w as (select distinct a.call_id, a.seg_idx, a.start_sec as t, b.start_sec as c from s a join s b on a.call_id = b.call_id and a.seg_idx <> b.seg_idx)
+    select call_id, seg_idx, c, cast(r as int) as rank from (select *, row_number() over (partition by call_id, seg_idx order by abs(c - t), c) as r from w) where r <= 5
+""")
+def j15_nearest_all(spark, d):
+    """The five starts of other segments nearest to each segment's start."""
+    (s,) = tables(spark, d, "transcript_segments")
+    s = once(s.filter("start_sec is not null and seg_idx is not null"), "call_id", "seg_idx").select("call_id", "seg_idx", F.col("start_sec").alias("t"))
+    starts = s.groupBy("call_id", "t").agg((F.count("*") == 1).alias("alone"))
+    near = J.nearest(s, starts.select("call_id", F.col("t").alias("c")), ["call_id"], "t", "c", 6, "seg_idx")
+    # a start that no other segment has is the segment's own, and first of the six
+    near = near.join(s.join(starts, ["call_id", "t"]), ["call_id", "seg_idx"]).withColumn("rank", F.col("rank") - F.col("alone").cast("int"))
+    return near.filter("rank between 1 and 5").select("call_id", "seg_idx", "c", "rank")
+
+
 @fam.query(f"""
     with f as (select call_id, unnest(range(0, 60)) * 1.0 + 0.5 as t from (select distinct call_id from {SEG}))
     select f.call_id, cast(t as double) as t, min(seg_idx) as seg_idx from f join {SEG} s on f.call_id = s.call_id and start_sec <= t and t < end_sec group by 1, 2
@@ -158,6 +173,20 @@ def j17_overlap(spark, d):
     return J.overlapping(a, b, ["call_id"], 8.0, 0.05).groupBy("call_id", "seg_idx").agg(F.round(F.sum("shared"), 4).alias("shared"), F.count("*").alias("n"))
 
 
+@fam.query(f"""
+    with s as {SEG} select a.call_id, a.seg_idx, round(sum(least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec)), 4) as shared, count(*) as n
+    from s a join s b on a.call_id = b.call_id and a.seg_idx <> b.seg_idx and least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec) > 0.05 where a.start_sec <= a.end_sec and b.start_sec <= b.end_sec group by 1, 2
+""")
+def j17_overlap_all(spark, d):
+    """Each segment's overlap with all other segments of its call."""
+    (s,) = tables(spark, d, "transcript_segments")
+    s = once(s.filter("start_sec is not null"), "call_id", "seg_idx")
+    a = s.select("call_id", "seg_idx", F.col("start_sec").alias("a_start"), F.col("end_sec").alias("a_end"))
+    b = s.select("call_id", F.col("seg_idx").alias("other"), F.col("start_sec").alias("b_start"), F.col("end_sec").alias("b_end"))
+    pairs = J.overlapping(a, b, ["call_id"], 8.0, 0.05).filter("seg_idx <> other")
+    return pairs.groupBy("call_id", "seg_idx").agg(F.round(F.sum("shared"), 4).alias("shared"), F.count("*").alias("n"))
+
+
 @fam.query("select c.case_id, c.n as n_refs, c.n = c.ok as valid from (select t.case_id, count(*) as n, count(w.case_id) as ok from (select distinct case_id, turn_idx from dialogue_turns) t left join (select distinct case_id from workorders where status = 'confirmed') w on t.case_id = w.case_id group by 1) c")
 def j18_all_verified(spark, d):
     t, w = tables(spark, d, "dialogue_turns", "workorders")

@@ -185,6 +185,27 @@ def r7_history(spark, d):
     return T.top(shared, ["case_id"], [F.desc("shared"), F.col("match")], 3).drop("rank")
 
 
+@fam.query("""
+    with x as (select distinct case_id, elements.event as t from workorders where case_id is not null and length(elements.event) > 1), k as (select t, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::int, 2))) as b from (select distinct t from x)),
+    p as (select a.t, b.t as other, len(list_intersect(a.b, b.b)) as shared from k a join k b on len(list_intersect(a.b, b.b)) > 0), m as (select h.case_id, p.other, p.shared, min(x.case_id) as match from x h join p using (t) join x on x.t = p.other and x.case_id <> h.case_id where h.case_id like '%0' group by 1, 2, 3),
+    g as (select case_id, match, max(shared) as shared from m group by 1, 2)
+    select case_id, match, shared from g qualify row_number() over (partition by case_id order by shared desc, match) <= 3
+""")
+def r7_history_all(spark, d):
+    """The three matters among all others that share most bigrams, one row standing for equal texts."""
+    (w,) = tables(spark, d, "workorders")
+    x = w.select("case_id", F.col("elements.event").alias("t")).distinct().filter("case_id is not null and length(t) > 1")
+    grams = x.select("t").distinct().select("t", F.explode(F.array_distinct(bigrams(F.col("t")))).alias("g"))
+    new = x.filter("case_id like '%0'")
+    asked = grams.join(new.select("t").distinct(), "t")
+    shared = asked.join(grams.withColumnRenamed("t", "other"), "g").groupBy("t", "other").agg(F.count("*").alias("shared"))
+    # the two smallest cases of a text: one of them isn't the asking case
+    stands = T.top(x, ["t"], [F.col("case_id")], 2).select(F.col("t").alias("other"), F.col("case_id").alias("match"))
+    found = new.join(shared, "t").join(stands, "other").filter("match <> case_id").groupBy("case_id", "other", "shared").agg(F.min("match").alias("match"))
+    found = found.groupBy("case_id", "match").agg(F.max("shared").alias("shared"))
+    return T.top(found, ["case_id"], [F.desc("shared"), F.col("match")], 3).drop("rank")
+
+
 @fam.query("select dept_id, case when n >= 5 and acc >= 0.8 then 'out' when acc >= 0.8 then 'on' else 'in' end as phase from (select dept_id, count(*) as n, avg((handoff_status = 'completed')::int + 0.6 * (handoff_status = 'processing')::int) as acc from (select distinct on (case_id) * from workorders) group by 1)")
 def g8_phase(spark, d):
     (w,) = tables(spark, d, "workorders")
