@@ -50,6 +50,23 @@ def test_blocks_give_the_same(spark, tiny, monkeypatch):
     assert one == many and one
 
 
+def test_common_terms_and_altered_halves(monkeypatch):
+    rng = random.Random(5)
+    draw = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = [draw(70) for _ in range(3)]
+    passages = [draw(180)] * 5 + [shared[0] + shared[1] + draw(40), shared[1] + shared[2] + draw(40), shared[0] + draw(40) + shared[2]] + [shared[i % 3] + draw(50) for i in range(12)]
+    ids = list(range(len(passages)))
+    test = K.TestSet(ids, passages)
+    altered = ["".join(FILL[0] if i % 15 == 14 else c for i, c in enumerate(p[: len(p) * 11 // 20])) for p in passages]
+    texts = [FILL + p + FILL for p in passages] + [FILL + a + FILL for a in altered]
+    got = {(d, i) for d, i, _ in K.search_texts(test, texts, 0.5, 0.7)}
+    assert {(d, i) for d in range(5) for i in range(5)} <= got
+    assert {(n, n) for n in ids} <= got
+    assert {(len(ids) + n, n) for n in ids} <= got
+    monkeypatch.setattr(K, "MOST_POSTINGS", 50)
+    assert {(d, i) for d, i, _ in K.search_texts(test, texts, 0.5, 0.7)} == got
+
+
 def test_held_out_accuracy(small):
     rows = duckdb.sql(f"select text, lang from '{small}/documents.parquet' where text is not null and lang in ('zh','en','de','fr','es','pt','ja','ko') order by doc_id").fetchall()
     rows = [(t, lang) for t, lang in rows if len(t) >= 40]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 GRAM_HAN, GRAM = 6, 14
 BLOCK_CHARS = 5_000_000
+MOST_POSTINGS = 4_000_000  # bounds the arrays: texts with more between them are searched in parts
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -174,31 +175,24 @@ def search_texts(test: TestSet, texts: list[str | None], share: float, agree: fl
     place, number = test.find(codes)
     if not len(place):
         return []
+    reps = np.diff(test.first)[number]
+    if len(texts) > 1 and reps.sum() > MOST_POSTINGS:
+        half = len(texts) // 2
+        first, second = (search_texts(test, part, share, agree) for part in (texts[:half], texts[half:]))
+        return first + [(half + d, i, c) for d, i, c in second]
     doc = np.searchsorted(at, place, side="right") - 1
     k_of = np.where(test.han, GRAM_HAN, GRAM)
-    df = np.diff(test.first)[number]
-    # rarest terms first: they nominate (document, passage) pairs, the other terms are looked at for those only
-    rare = df <= 3
-    reps = df[rare]
-    row = np.repeat(np.nonzero(rare)[0], reps)
-    slot = np.repeat(test.first[number[rare]], reps) + (np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps))
-    pair = doc[row] * len(test.ids) + test.item[slot]
-    key, count = np.unique(pair, return_counts=True)
-    found = key[count >= np.maximum(3, 0.08 * test.size[key % len(test.ids)])]
-    if not len(found):
-        return []
-    docs = np.unique(found // len(test.ids))
-    sel = np.nonzero(np.isin(doc, docs))[0]
-    reps = df[sel]
-    row = np.repeat(sel, reps)
-    slot = np.repeat(test.first[number[sel]], reps) + (np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps))
+    row = np.repeat(np.arange(len(place)), reps)
+    slot = np.repeat(test.first[number], reps) + (np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps))
+    # a term at the very end of a text may reach into the next one
+    ok = place[row] + k_of[test.item[slot]] <= at[doc[row] + 1]
+    row, slot = row[ok], slot[ok]
     pair = doc[row] * len(test.ids) + test.item[slot]
-    ok = np.isin(pair, found)
+    # a posting adds at most k agreeing characters, and a leak has agree * share of the passage: no pair with fewer can be one
+    key, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+    item = key % max(1, len(test.ids))
+    ok = (count * k_of[item] >= agree * share * test.size[item] - 1e-9)[inverse]
     row, slot, pair = row[ok], slot[ok], pair[ok]
-    # a term at the very end of a text may reach into the next one
-    kk = k_of[test.item[slot]]
-    ok = place[row] + kk <= at[doc[row] + 1]
-    row, slot, pair, kk = row[ok], slot[ok], pair[ok], kk[ok]
     order = np.argsort(pair, kind="stable")
     row, slot, pair = row[order], slot[order], pair[order]
     cut = np.nonzero(np.diff(pair))[0] + 1
