@@ -233,3 +233,23 @@ def test_segments_and_cases_against_all_others(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/workorders.parquet")
     got = {(r["case_id"], r["match"], r["shared"]) for r in entry.queries()["r7_history_all"](spark, str(tmp_path)).collect()}
     assert got == {("W10", "W20", 3), ("W10", "W21", 1), ("W10", "W11", 1), ("W20", "W10", 3), ("W20", "W21", 1), ("W20", "W11", 1)}
+
+
+def test_all_rows_scored_and_multiplied(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(9)
+    vecs = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(vecs)], "vec_id int, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def dot(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True))
+
+    got = {r["vec_id"]: r["best"] for r in entry.queries()["v9_semantic_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(60))
+    for i, v in enumerate(vecs):
+        gold = [vecs[j] for j in range(i % 3, 15, 3) if j != i]
+        assert abs(got[i] - max(dot(v, g) / (dot(v, v) * dot(g, g)) ** 0.5 for g in gold)) < 1e-5
+    got = {(r["a"], r["b"]): r["dot"] for r in entry.queries()["m3_dot_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, i + 1) for i in range(59)}
+    assert all(abs(x - dot(vecs[a], vecs[b])) < 1e-4 for (a, b), x in got.items())

@@ -361,6 +361,16 @@ def m3_dot(spark, d):
     return pair.select("a", "b", F.round(dot, 5).alias("dot"))
 
 
+@fam.query("with q as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v), 5) as dot from q a join q b on b.vec_id = a.vec_id + 1")
+def m3_dot_all(spark, d):
+    """Dot products of all vectors of neighbouring ids, in the JVM."""
+    (e,) = tables(spark, d, "embeddings")
+    q = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v"))
+    pair = q.join(q.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("v").alias("w")), "a")
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return pair.select("a", "b", F.round(dot, 5).alias("dot"))
+
+
 # --- documents ------------------------------------------------------------------------------------------------
 
 
@@ -560,6 +570,19 @@ def v9_semantic(spark, d):
     return m.select("vec_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.3).alias("ok"))
 
 
+@fam.query("""
+    with g as (select label, vec_id, embedding::double[] as v from (select *, row_number() over (partition by label order by vec_id) as r from embeddings) where r <= 5), u as (select vec_id, label, embedding::double[] as v from embeddings),
+    m as (select u.vec_id, u.label, max(round(list_cosine_similarity(u.v, g.v), 9)) as best from u join g on u.label = g.label and u.vec_id <> g.vec_id group by 1, 2) select vec_id, round(best, 6) as best, best >= 0.3 as ok from m
+""")
+def v9_semantic_all(spark, d):
+    """Every row's best similarity to the references of its label, which are the model: the first five rows a label."""
+    (e,) = tables(spark, d, "embeddings")
+    gold = T.top(e, ["label"], [F.col("vec_id")], 5).select("label", F.col("vec_id").alias("proto"), F.col("embedding").alias("pv"))
+    s = R.prototype_scores(e, "vec_id", "embedding", gold, "proto", "label", "pv", 1).withColumnRenamed("label", "pl")
+    m = s.join(e.select("vec_id", "label"), "vec_id").filter("pl = label").withColumn("best", F.round("score", 9))
+    return m.select("vec_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.3).alias("ok"))
+
+
 @fam.query("select event_type, round(avg((value > 10)::int), 6) as baseline, round(avg((value > 8)::int), 6) as candidate, round(avg((value > 8)::int) - avg((value > 10)::int), 6) as gain from events group by 1")
 def v15_replay(spark, d):
     """Two policies replayed over the same rows."""
