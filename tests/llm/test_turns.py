@@ -1,5 +1,7 @@
 """Turns on small talks, against a plain fold."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidewell.llm import turns as T
@@ -56,6 +58,23 @@ def test_wording_overlap_and_pauses(spark):
     assert [r["first_idx"] for r in two] == [0, 3]
 
 
+def test_overlaps_of_any_length(spark):
+    long = "".join(chr(0x4E00 + i * 7) for i in range(91))
+    rows = [
+        ("a", 0, 0.0, 2.0, "开头" + long, "citizen", "1"),
+        ("a", 1, 2.1, 4.0, long + "后面还有", "citizen", "1"),
+        ("b", 0, 0.0, 2.0, long, "citizen", "1"),
+        ("b", 1, 2.1, 4.0, long, "citizen", "1"),
+    ]
+    got = {r["conv_id"]: r["text"] for r in T.turns(speech(rows_of(spark, rows))).collect()}
+    assert got == {"a": "开头" + long + " 后面还有", "b": long}
+    rng = random.Random(1)
+    for _ in range(3000):
+        p, c = ("".join(rng.choices("ab", [9, 1], k=rng.randrange(120))) for _ in range(2))
+        c = p[rng.randrange(len(p) + 1) :] + c if rng.random() < 0.5 else c
+        assert T.overlap(p, c) == max((k for k in range(6, len(c) + 1) if p.endswith(c[:k])), default=0)
+
+
 def test_empty_and_long(spark):
     df = rows_of(spark, [("a", 0, 0.0, 1.0, "好" * 50000, "agent", None)])
     assert heads(speech(df)) == [("a", 1, "operator", 0)]

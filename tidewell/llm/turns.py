@@ -17,8 +17,7 @@ first).  Extra columns are ignored.  Texts of any length are processed whole.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +69,35 @@ def has_speech(clean: Column) -> Column:
     return F.coalesce(F.regexp_replace(clean, r"[^\p{L}\p{N}]+", "") != "", F.lit(False))
 
 
-def _overlap_cut(prev: Column, cur: Column, most: int = 40, least: int = 6) -> Column:
-    """cur without the longest prefix, of least to most code points, that prev ends with."""
-    cut = reduce(lambda acc, k: F.when((F.length(cur) >= k) & F.endswith(prev, F.substring(cur, 1, k)), k).otherwise(acc), range(least, most + 1), F.lit(0))
-    return F.when(prev.isNull(), cur).otherwise(F.expr("substring(_tw_clean, _tw_cut + 1)")), cut
+def overlap(prev: str, cur: str, least: int = 6) -> int:
+    """Length of the longest prefix of cur, of at least ``least`` code points, that prev ends with."""
+    head, at, tries = cur[:least], max(0, len(prev) - len(cur)), 0
+    if len(head) < least:
+        return 0
+    while (at := prev.find(head, at)) >= 0:
+        if cur.startswith(prev[at:]):
+            return len(prev) - at
+        at, tries = at + 1, tries + 1
+        if tries == 32:  # texts that repeat themselves: in one pass by the prefix function
+            text = [*cur, None, *prev[at:]]
+            edge = [0] * len(text)
+            for i in range(1, len(text)):
+                k = edge[i - 1]
+                while k and text[i] != text[k]:
+                    k = edge[k - 1]
+                edge[i] = k + (text[i] == text[k])
+            return edge[-1] if edge[-1] >= least else 0
+    return 0
+
+
+def _overlap_cut(prev: Column, cur: Column) -> tuple[Column, Column]:
+    """cur without the words that prev ends with, and how many code points those are."""
+
+    @F.pandas_udf("int")
+    def cut(p: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([overlap(x, y) if isinstance(x, str) and isinstance(y, str) else 0 for x, y in zip(p, c, strict=True)], dtype="int32")
+
+    return F.when(prev.isNull(), cur).otherwise(F.expr("substring(_tw_clean, _tw_cut + 1)")), cut(prev, cur)
 
 
 def speech_rows(
