@@ -90,3 +90,12 @@ def test_edges_of_language(spark, small):
     assert [G.LANGS[x[0]] for x in G.detect(G.fit(texts, labels), [joined])[0]] == ["fr", "pt", "de"]
     assert got == {-4: {0: "zh" if sum("一" <= c <= "鿿" for c in mixed) * 2 > sum(c.isascii() and c.isalpha() for c in mixed) else "en", 1: "zh", 2: "en"}, -5: {0: "de"}}
     assert G.label_documents(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_samples_are_whole(spark):
+    from tidewell.llm import pii
+
+    long = "材料可以拍照上传。" * 900
+    df = spark.createDataFrame([(1, long, "zh")], "doc_id long, text string, lang string")
+    assert G.sample_labelled(df, "doc_id", "text", "lang") == ([long], [G.LANGS.index("zh")])
+    assert pii.sample_texts(df, ["doc_id"], "text") == [long]

@@ -43,7 +43,7 @@ NAMES = {
     "ja": ("jpn", "japanese", "日本語", "日语", "jp"),
     "ko": ("kor", "korean", "한국어", "韩语", "kr"),
 }
-PROFILE, SAMPLE_DOCS, SAMPLE_CHARS = 1500, 200, 4000
+PROFILE, SAMPLE_DOCS = 1500, 200
 _SLOT_BITS = 20
 _ENDS = "。！？!?…\n\r"
 _EDGE = 1  # stands for both edges of a word
@@ -313,13 +313,13 @@ def detect(p: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, in
 
 
 def sample_labelled(docs: DataFrame, key: str, text: str, label: str, per_lang: int = SAMPLE_DOCS) -> tuple[list[str], list[int]]:
-    """At most per_lang labelled texts a language, cut to SAMPLE_CHARS, chosen by hash of the key."""
+    """At most per_lang labelled texts a language, whole, chosen by hash of the key."""
     base = docs.select(F.xxhash64(key).alias("h"), label_code(F.col(label)).alias("code"), F.col(text).alias("t")).filter(F.col("code").isNotNull())
     n = {r["code"]: r["n"] for r in base.groupBy("code").agg(F.count("*").alias("n")).collect()}
     part = F.lit(False)
     for code, m in n.items():  # twice the share needed, so that too few are rare
         part = part | ((F.col("code") == code) & (F.pmod("h", F.lit(1 << 30)) <= int(min(1.0, 2.0 * per_lang / m) * (1 << 30))))
-    rows = base.filter(part & (F.length("t") >= 40)).select("h", "code", F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h").limit(4 * per_lang * len(LANGS)).collect()
+    rows = base.filter(part & (F.length("t") >= 40)).select("h", "code", "t").orderBy("h").limit(4 * per_lang * len(LANGS)).collect()
     texts, labels, had = [], [], dict.fromkeys(LANGS, 0)
     for r in rows:
         if had[r["code"]] < per_lang:
