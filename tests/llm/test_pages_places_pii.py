@@ -1,9 +1,8 @@
-"""Furniture, places and personal data on small cases."""
+"""Places and personal data on small cases."""
 
 import numpy as np
 
 from tidewell.llm import addresses as A
-from tidewell.llm import boilerplate as B
 from tidewell.llm import boosting
 from tidewell.llm import pii as P
 from tidewell.llm.address_parse import number_of, parse_location
@@ -12,53 +11,6 @@ from tidewell.session import materialise
 D = {"砚湾": "砚湾区", "岚泊": "岚泊县", "栖桐": "栖桐区"}
 
 
-# --- pages -------------------------------------------------------------------------------------------
-
-
-def test_matching_is_ordered_and_largest():
-    import itertools
-    import random
-
-    rng = random.Random(5)
-    for _ in range(200):
-        a = [rng.choice("abcd") for _ in range(rng.randrange(8))]
-        b = [rng.choice("abcd") for _ in range(rng.randrange(6))]
-        got = B.match_trees(a, b)
-        best = max(k for k in range(len(b) + 1) for c in itertools.combinations(b, k) if _subsequence(c, a))
-        assert sum(got) == best
-
-
-def _subsequence(c, a):
-    it = iter(a)
-    return all(x in it for x in c)
-
-
-def _page(n, body, furniture=True):
-    head, tail = ["首页 > 政务公开 > 正文", "登录", "政策文件"], ["相关阅读", f"关于事项{'甲乙丙丁戊己庚辛壬癸'[n % 10]}的通知", f"网站标识码：{n:08d}", "版权所有 © 2026"]
-    return "\n".join([*head, *body, *tail] if furniture else body)
-
-
-def test_wrapper(spark):
-    pages, want = [], {}
-    for n in range(40):
-        body = [f"第{n}号文件办理指南", "", f"本通知编号{n}，由{'甲乙丙丁'[n % 4]}单位负责解释。", "工作要求", f"请在{n}日内完成。"]
-        blocks = [{"text": x} for x in body if x]
-        pages.append((str(n), f"https://h{n % 2}.example/{n}.html", _page(n, body), blocks, None, None, "x"))
-        want[str(n)] = {0, 1, 2, 8, 9, 10, 11}
-    pages.append(("f", "https://h0.example/f.html", "登录\r\n政策文件\n相关阅读\n关于事项甲的通知\n版权所有 © 2026", [], "q", "重复：\n政策文件\n相关阅读\n关于事项甲的", "x"))
-    pages.append(("n", None, None, None, "e", "", "x"))
-    df = spark.createDataFrame(pages, "rec_key string, url string, raw_text string, blocks array<struct<text:string>>, quote_key string, quote string, template string")
-    out = B.strip_boilerplate(df, B.induce(df)).filter("not body").collect()
-    got = {}
-    for r in out:
-        got.setdefault((r["src"], r["rec_key"]), set()).add(r["line_no"])
-    assert {k[1]: v for k, v in got.items() if k[0] == "page" and k[1] != "f"} == want
-    assert got["page", "f"] == {0, 1, 2, 3, 4} and got["quote", "q"] == {1, 2, 3}
-    joined = B.strip_boilerplate(df, B.induce(df), most_nodes=0).filter("not body").collect()  # the way beyond the bound
-    assert sorted(map(tuple, joined)) == sorted(map(tuple, out))
-    assert B.strip_boilerplate(df.limit(0), B.induce(df.limit(0))).count() == 0
-
-
 # --- places ------------------------------------------------------------------------------------------
 
 

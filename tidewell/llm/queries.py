@@ -41,12 +41,13 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-blank line of raw_text and of quality_reject_reason with its verdict."""
-    pages = table(spark, sf_dir, "parsed_documents").select("page_id", F.col("source_url").alias("url"), "raw_text", "blocks").dropDuplicates(["page_id"])
+    pages = table(spark, sf_dir, "parsed_documents").select("page_id", F.col("source_url").alias("url"), "raw_text").dropDuplicates(["page_id"])
     quotes = table(spark, sf_dir, "quality_rejected").filter(F.col("quality_reject_reason").contains("\n"))
     quotes = quotes.select("record_id", F.col("source_url").alias("quote_url"), F.col("quality_reject_reason").alias("quote")).dropDuplicates(["record_id"])
     both = pages.join(quotes, F.col("page_id") == F.col("record_id"), "full_outer")
-    both = both.select(F.col("page_id").cast("string").alias("rec_key"), F.coalesce("url", "quote_url").alias("url"), "raw_text", "blocks", F.col("record_id").cast("string").alias("quote_key"), "quote")
-    lines = B.strip_boilerplate(both, B.induce(pages, keep=lambda df: materialise(df, "p2")))
+    both = both.select(F.col("page_id").cast("string").alias("rec_key"), F.coalesce("url", "quote_url").alias("url"), "raw_text", F.col("record_id").cast("string").alias("quote_key"), "quote")
+    counts = B.induce(table(spark, sf_dir, "parsed_documents").select(F.col("source_url").alias("url"), "raw_text"), keep=lambda df: materialise(df, "p2"))
+    lines = B.strip_boilerplate(both, *B.wrappers(counts))
     return lines.withColumn("src", F.when(F.col("src") == "page", "parsed_documents").otherwise("quality_rejected"))
 
 
