@@ -1,39 +1,49 @@
-"""Evaluation passages inside a training corpus: a positional inverted index, partitioned by document.
+"""Evaluation passages inside a training corpus: a distributed positional inverted index.
 
 Text is normalised to letters and digits (width, case, accents, signs and spacing go), and its terms
 are the overlapping runs of ``GRAM_HAN`` characters (Han, kana, hangul) or ``GRAM`` characters
-(anything).  ``postings`` stores, for each document, where terms of the test vocabulary stand; other
-terms can match nothing and are not stored.  ``search`` takes the lists of each passage, rarest
-terms first, shifts each by the term's offset in the passage and intersects them: postings that agree
-on one shift form exact phrases, phrases whose shifts differ by a few characters are joined by
-proximity.  A joined stretch counts if it is long enough and the agreeing part of it is large, which
-keeps passages apart that only share a form of words; a document leaks a passage if at least
-``share`` of the passage is covered, in one place or several.
-
-The test set is the query set: it goes to every task in blocks of at most ``BLOCK_CHARS`` characters,
-each block one pass over all documents; no block is skipped.  Documents never meet each other and
-nothing is shuffled.
+(anything).
+
+1. ``test_terms``: the passages' terms with their offsets, one row each.  Equal passages are one.
+2. ``postings``: the index of the corpus, stored by term: (term, document, places).  Terms that a
+   bitmap of the test terms (``BITS`` bits, whatever the test set) rules out can match nothing and
+   are not stored.  Stored lists of a hot term are split over files and tasks.
+3. ``ranked``: each passage's terms from the rarest to the most frequent in the corpus.  A leak takes
+   at least ``need`` of a passage's terms (a term adds at most its own length to the agreeing part,
+   and that is at least ``agree`` x ``share`` of the passage), so that every document with a leak has
+   one of all but the ``need - 1`` most frequent: those nominate.  No other cut is made.
+4. The lists of a document are brought together and shifted by the terms' offsets: postings that
+   agree on one shift form exact phrases, phrases whose shifts differ by a few characters are joined
+   by proximity.  A joined stretch counts if it is long enough and the agreeing part of it is large,
+   which keeps passages apart that only share a form of words; a document leaks a passage if at
+   least ``share`` of the passage is covered, in one place or several.
+
+Scale: neither the test set nor the corpus reaches the driver, only the bitmap.  Both sides meet by
+term; a term of very many passages has its list in parts of ``PART`` entries, and a term of very many
+documents is split by the rebalanced index and the skew handling of the join.
 
 Defined results: null or empty documents and passages match nothing; a document that holds a passage
-twice gives one row; passages shorter than a term match nothing; equal passages are all reported.
+twice gives one row; passages shorter than a term (``GRAM_HAN`` or ``GRAM`` letters and digits) match
+nothing; equal passages are all reported, however many; repeated rows count once; texts under one
+doc_id are searched apart.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM_HAN, GRAM = 6, 14
-BLOCK_CHARS = 5_000_000
-MOST_POSTINGS = 4_000_000  # bounds the arrays: texts with more between them are searched in parts
+#: bits of the bitmap of test terms, and how many passages' entries travel in one row of a term's list
+BITS, PART = 22, 64
 _B = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
 
 
 @functools.cache
@@ -87,58 +97,19 @@ def _wide(codes: np.ndarray) -> np.ndarray:
     return codes >= 0x2E80
 
 
-class TestSet:
-    """Terms of the passages with the places where they stand, as arrays."""
-
-    __test__ = False
-
-    def __init__(self, ids: list[int], passages: list[str | None]) -> None:
-        self.ids = np.array(ids, dtype=np.int64)
-        codes, at = _codes(passages)
-        self.size = np.diff(at)
-        self.han = np.array([_wide(codes[a:b]).mean() > 0.3 if b > a else False for a, b in zip(at[:-1], at[1:], strict=True)])
-        terms, items, offs = [], [], []
-        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            k = GRAM_HAN if self.han[i] else GRAM
-            h = _terms(codes[a:b], k) ^ np.uint64(k)
-            terms.append(h)
-            items.append(np.full(len(h), i, np.int32))
-            offs.append(np.arange(len(h), dtype=np.int32))
-        h, item, off = (np.concatenate(x) if x else np.zeros(0) for x in (terms, items, offs))
-        order = np.argsort(h, kind="stable")
-        self.term, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.item, self.off = item[order], off[order]
-        self.bits = np.zeros(1 << _BITS, np.bool_)
-        self.bits[(self.term >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.sizes = sorted({GRAM_HAN for x in self.han if x} | {GRAM for x in self.han if not x})
-
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and term numbers of the test vocabulary in the codes."""
-        place, number = [], []
-        for k in self.sizes:
-            h = _terms(codes, k) ^ np.uint64(k)
-            may = np.nonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])[0]
-            at = np.searchsorted(self.term, h[may])
-            ok = at < len(self.term)
-            may, at = may[ok], at[ok]
-            ok = self.term[at] == h[may]
-            place.append(may[ok])
-            number.append(at[ok])
-        return np.concatenate(place), np.concatenate(number)
-
-
 def _slack(han: bool) -> tuple[int, int, int]:
     """Largest gap inside a stretch, largest change of shift across it, least length of a stretch."""
     return (10, 6, 16) if han else (24, 14, 40)
 
 
-def covered(place: np.ndarray, off: np.ndarray, k: int, han: bool, agree: float) -> np.ndarray:
+def covered(place: np.ndarray, off: np.ndarray, size: int, han: bool, share: float, agree: float) -> np.ndarray:
     """Stretches (first and last offset, exclusive) of the passage that stand in the document.
 
     place, off: a posting's place in the document and its term's offset in the passage.
     """
+    k = GRAM_HAN if han else GRAM
     gap, drift, least = _slack(han)
+    least = min(least, max(k, math.ceil(share * size)))
     order = np.lexsort((place, place - off))
     p, o = place[order], off[order]
     shift = p - o
@@ -169,81 +140,154 @@ def covered(place: np.ndarray, off: np.ndarray, k: int, han: bool, agree: float)
     return np.array(keep, dtype=np.int64).reshape(-1, 2)
 
 
-def search_texts(test: TestSet, texts: list[str | None], share: float, agree: float) -> list[tuple[int, int, float]]:
-    """(text number, passage number, covered share) of the leaks."""
-    codes, at = _codes(texts)
-    place, number = test.find(codes)
-    if not len(place):
-        return []
-    reps = np.diff(test.first)[number]
-    if len(texts) > 1 and reps.sum() > MOST_POSTINGS:
-        half = len(texts) // 2
-        first, second = (search_texts(test, part, share, agree) for part in (texts[:half], texts[half:]))
-        return first + [(half + d, i, c) for d, i, c in second]
-    doc = np.searchsorted(at, place, side="right") - 1
-    k_of = np.where(test.han, GRAM_HAN, GRAM)
-    row = np.repeat(np.arange(len(place)), reps)
-    slot = np.repeat(test.first[number], reps) + (np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps))
-    # a term at the very end of a text may reach into the next one
-    ok = place[row] + k_of[test.item[slot]] <= at[doc[row] + 1]
-    row, slot = row[ok], slot[ok]
-    pair = doc[row] * len(test.ids) + test.item[slot]
-    # a posting adds at most k agreeing characters, and a leak has agree * share of the passage: no pair with fewer can be one
-    key, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    item = key % max(1, len(test.ids))
-    ok = (count * k_of[item] >= agree * share * test.size[item] - 1e-9)[inverse]
-    row, slot, pair = row[ok], slot[ok], pair[ok]
-    order = np.argsort(pair, kind="stable")
-    row, slot, pair = row[order], slot[order], pair[order]
-    cut = np.nonzero(np.diff(pair))[0] + 1
-    out = []
-    for a, b in zip(np.append(0, cut), np.append(cut, len(pair)), strict=True):
-        if b <= a:
-            continue
-        d, i = divmod(int(pair[a]), len(test.ids))
-        han = bool(test.han[i])
-        spans = covered(place[row[a:b]].astype(np.int64), test.off[slot[a:b]].astype(np.int64), int(k_of[i]), han, agree)
-        mask = np.zeros(int(test.size[i]), np.bool_)
-        for x, y in spans:
-            mask[x:y] = True
-        if mask.mean() >= share:
-            out.append((d, i, float(mask.mean())))
-    return out
+def _is_han(codes: np.ndarray) -> bool:
+    return bool(len(codes)) and bool(_wide(codes).mean() > 0.3)
 
 
-def blocks_of(items: DataFrame, item_id: str, passage: str) -> list[tuple[list[int], list[str]]]:
-    """The test set in blocks of bounded size; its rows stream to the driver block by block."""
-    out, ids, texts, size = [], [], [], 0
-    for r in items.select(item_id, passage).toLocalIterator():
-        if r[0] is None or not r[1]:
-            continue
-        if ids and size + len(r[1]) > BLOCK_CHARS:
-            out.append((ids, texts))
-            ids, texts, size = [], [], 0
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1])
-    return [*out, (ids, texts)] if ids else out
-
-
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, agree: float = 0.7) -> DataFrame:
-    """doc_id, item_id, covered DOUBLE: the documents that hold at least ``share`` of a passage."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_tw_text")).filter(F.col("_tw_text").isNotNull())
-    schema = f"doc_id {src.schema[0].dataType.simpleString()}, item_id bigint, covered double"
-    out = None
-    for ids, texts in blocks_of(items, item_id, passage):
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, texts=texts) -> Iterator[pd.DataFrame]:
-            test = TestSet(ids, texts)
-            for pdf in batches:
-                keys, all_texts = pdf["doc_id"].to_list(), pdf["_tw_text"].to_list()
-                rows = []
-                for a in range(0, len(keys), 1000):  # bounds the arrays, not the rows
-                    rows += [(keys[a + d], ids[i], c) for d, i, c in search_texts(test, all_texts[a : a + 1000], share, agree)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "covered"])
-
-        one = src.mapInPandas(run, schema)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return out
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n of counts, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def test_terms(passages: DataFrame) -> DataFrame:
+    """passages: p BIGINT, passage STRING.  Returns p, size (negative: not Han), term, off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, at = _codes(batch.column("passage").to_pylist())
+            for p, a, b in zip(batch.column("p").to_pylist(), at[:-1], at[1:], strict=True):
+                han = _is_han(codes[a:b])
+                k = GRAM_HAN if han else GRAM
+                h = (_terms(codes[a:b], k) ^ np.uint64(k)).view(np.int64)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, p)), pa.array(np.full(n, (b - a) if han else a - b, np.int32)), pa.array(h), pa.array(np.arange(n, dtype=np.int32))],
+                    names=["p", "size", "term", "off"],
+                )
+
+    return passages.mapInArrow(run, "p bigint, size int, term bigint, off int")
+
+
+test_terms.__test__ = False
+
+
+def bitmap(terms: DataFrame) -> np.ndarray:
+    """2^BITS flags of the terms' leading bits; at most 2^BITS / 64 rows reach the driver."""
+    lead = F.shiftrightunsigned("term", 64 - BITS)
+    words = terms.groupBy(F.shiftright(lead, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros((1 << BITS) // 64, np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(np.bool_)
+
+
+def postings(docs: DataFrame, doc_id: str, text: str, flags: np.ndarray) -> DataFrame:
+    """term, doc_id, tag (tells texts under one id apart), at ARRAY<INT>: where a term stands in a document."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    src = src.select("doc_id", F.expr("cast(xxhash64(text) & 2147483647 as int)").alias("tag"), "text")
+    packed = np.packbits(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(packed).astype(np.bool_)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):  # bounds the arrays, not the rows
+                batch = whole.slice(a, 1000)
+                codes, at = _codes(batch.column("text").to_pylist())
+                places, terms = [], []
+                for k in (GRAM_HAN, GRAM):
+                    h = _terms(codes, k) ^ np.uint64(k)
+                    here = np.nonzero(may[(h >> np.uint64(64 - BITS)).astype(np.int64)])[0]
+                    owner = np.searchsorted(at, here, side="right") - 1
+                    here = here[here + k <= at[owner + 1]]  # a term doesn't reach into the next text
+                    places.append(here)
+                    terms.append(h[here].view(np.int64))
+                place, term = np.concatenate(places), np.concatenate(terms)
+                doc = np.searchsorted(at, place, side="right") - 1
+                order = np.lexsort((place, term, doc))
+                place, term, doc = place[order], term[order], doc[order]
+                first = np.nonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc) != 0)))[0] if len(term) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)), pa.int32()), pa.array((place - at[doc]).astype(np.int32)))
+                rows = pa.array(doc[first])
+                yield pa.RecordBatch.from_arrays([pa.array(term[first]), batch.column("doc_id").take(rows), batch.column("tag").take(rows), lists], names=["term", "doc_id", "tag", "at"])
+
+    return src.mapInArrow(run, f"term bigint, doc_id {src.schema[0].dataType.simpleString()}, tag int, at array<int>")
+
+
+def _need(size: str, share: float, agree: float) -> str:
+    """Least number of a passage's terms that a leak has."""
+    return f"greatest(1, cast(ceil(abs({size}) * {agree * share} / if({size} > 0, {GRAM_HAN}, {GRAM}) - 1e-9) as int))"
+
+
+def ranked(terms: DataFrame, index: DataFrame, share: float, agree: float) -> DataFrame:
+    """terms that the corpus has, with df and rare: whether the term nominates."""
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    frequent = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("df"), "off"))
+    return known.withColumn("rare", frequent >= F.expr(_need("size", share, agree))).filter("df > 0")
+
+
+def find_leaks(
+    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, keep: Callable[[DataFrame], DataFrame], share: float = 0.5, agree: float = 0.7
+) -> DataFrame:
+    """doc_id, item_id, covered DOUBLE: the documents that hold at least ``share`` of a passage.
+
+    keep: stores the numbered passages and the index once, as several steps use them.
+    """
+    wanted = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")).filter(F.length("passage") > 0).distinct()
+    passages = keep(wanted.select("passage").distinct().withColumn("p", F.monotonically_increasing_id()))
+    terms = test_terms(passages.select("p", "passage"))
+    index = keep(postings(docs, doc_id, text, bitmap(terms)).hint("rebalance", "term").sortWithinPartitions("term"))
+    known = ranked(terms, index, share, agree)
+    part = F.floor((F.row_number().over(Window.partitionBy("term").orderBy("p", "off")) - 1) / PART)
+    lists = known.withColumn("part", part).groupBy("term", "part").agg(F.collect_list(F.struct("p", "size", F.when(F.col("rare"), F.col("off")).otherwise(-1 - F.col("off")).alias("off"))).alias("e"))
+    lists = lists.select("term", F.col("e.p").alias("p"), F.col("e.size").alias("size"), F.col("e.off").alias("off"))
+    # the lists of a document together: bounded by its length
+    by_doc = index.join(lists, "term").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "p", "size", "off")).alias("hits"))
+    found = by_doc.mapInArrow(functools.partial(_verified, share=share, agree=agree), f"doc_id {index.schema['doc_id'].dataType.simpleString()}, p bigint, covered double")
+    pairs = found.join(passages, "p").join(wanted, "passage")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list array, and the number of each list's."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], share: float, agree: float) -> Iterator[pa.RecordBatch]:
+    """The leaks among the documents' lists."""
+    for whole in batches:
+        for s in range(0, whole.num_rows, 500):
+            batch = whole.slice(s, 500)
+            hits, n_hits = batch.column("hits"), batch.column("hits").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = hits.flatten()
+            (at, n_at), (p, n_p), (size, _), (off, _) = (_flat(flat.field(i)) for i in range(4))
+            # every place of a posting with every entry of its term's list
+            doc = np.repeat(np.arange(batch.num_rows), n_hits)
+            n = n_at * n_p
+            which = np.repeat(np.arange(len(n)), n)
+            within = _ranges(n)
+            a = np.repeat(np.cumsum(n_at) - n_at, n) + within // n_p[which]
+            e = np.repeat(np.cumsum(n_p) - n_p, n) + within % n_p[which]
+            d, place, q, z, o = doc[which], at[a].astype(np.int64), p[e], size[e].astype(np.int64), off[e].astype(np.int64)
+            order = np.lexsort((q, d))
+            d, place, q, z, o = d[order], place[order], q[order], z[order], o[order]
+            if not len(d):
+                continue
+            first = np.nonzero(np.append(True, (np.diff(d) != 0) | (np.diff(q) != 0)))[0]
+            nominated = np.add.reduceat((o >= 0).astype(np.int64), first) > 0
+            k = np.where(z[first] > 0, GRAM_HAN, GRAM)
+            enough = np.diff(np.append(first, len(d))) * k >= agree * share * np.abs(z[first]) - 1e-9
+            docs, ps, shares = [], [], []
+            ends = np.append(first[1:], len(d))
+            for i in np.nonzero(nominated & enough)[0]:
+                x, y = first[i], ends[i]
+                length = int(abs(z[x]))
+                spans = covered(place[x:y], np.where(o[x:y] < 0, -1 - o[x:y], o[x:y]), length, bool(z[x] > 0), share, agree)
+                mask = np.zeros(length, np.bool_)
+                for u, v in spans:
+                    mask[u:v] = True
+                if mask.mean() >= share:
+                    docs.append(d[x])
+                    ps.append(q[x])
+                    shares.append(float(mask.mean()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(ps, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "p", "covered"])

@@ -120,7 +120,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return L.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").select("doc_id", "item_id")
+    return L.find_leaks(docs, "doc_id", "text", items, "item_id", "passage", keep=lambda df: materialise(df, "p8")).select("doc_id", "item_id")
 
 
 def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
