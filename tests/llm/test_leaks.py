@@ -96,7 +96,7 @@ def test_common_terms_and_altered_halves(spark):
 def test_index_and_bitmap(spark):
     texts = ["甲乙丙丁戊己庚辛", "一甲乙丙丁戊己一甲乙丙丁戊己", "甲乙丙"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    terms = K.test_terms(spark.createDataFrame([(0, "甲乙丙丁戊己"), (1, "乙丙丁戊己庚")], "p long, passage string"))
+    terms = K.test_terms(spark.createDataFrame([(0, "甲乙丙丁戊己"), (1, "乙丙丁戊己庚")], "p int, passage string"))
     flags = K.bitmap(terms)
     assert flags.sum() == 2
     index = K.postings(docs, "doc_id", "text", flags).join(terms.select("term", "p"), "term")

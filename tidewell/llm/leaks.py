@@ -150,7 +150,7 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
 
 
 def test_terms(passages: DataFrame) -> DataFrame:
-    """passages: p BIGINT, passage STRING.  Returns p, size (negative: not Han), term, off."""
+    """passages: p INT, passage STRING.  Returns p, size (negative: not Han), term, off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +161,11 @@ def test_terms(passages: DataFrame) -> DataFrame:
                 h = (_terms(codes[a:b], k) ^ np.uint64(k)).view(np.int64)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, p)), pa.array(np.full(n, (b - a) if han else a - b, np.int32)), pa.array(h), pa.array(np.arange(n, dtype=np.int32))],
+                    [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, (b - a) if han else a - b, np.int32)), pa.array(h), pa.array(np.arange(n, dtype=np.int32))],
                     names=["p", "size", "term", "off"],
                 )
 
-    return passages.mapInArrow(run, "p bigint, size int, term bigint, off int")
+    return passages.mapInArrow(run, "p int, size int, term bigint, off int")
 
 
 test_terms.__test__ = False
@@ -234,7 +234,9 @@ def find_leaks(
     keep: stores the numbered passages and the index once, as several steps use them.
     """
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")).filter(F.length("passage") > 0).distinct()
-    passages = keep(wanted.select("passage").distinct().withColumn("p", F.monotonically_increasing_id()))
+    bucket = F.pmod(F.xxhash64("passage"), F.lit(256)).cast("int")
+    number = F.row_number().over(Window.partitionBy("b").orderBy("passage"))
+    passages = keep(wanted.select("passage", bucket.alias("b")).distinct().select("passage", (number * 256 + F.col("b")).alias("p")))
     terms = test_terms(passages.select("p", "passage"))
     index = keep(postings(docs, doc_id, text, bitmap(terms)).hint("rebalance", "term").sortWithinPartitions("term"))
     known = ranked(terms, index, share, agree)
@@ -243,7 +245,7 @@ def find_leaks(
     lists = lists.select("term", F.col("e.p").alias("p"), F.col("e.size").alias("size"), F.col("e.off").alias("off"))
     # the lists of a document together: bounded by its length
     by_doc = index.join(lists, "term").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "p", "size", "off")).alias("hits"))
-    found = by_doc.mapInArrow(functools.partial(_verified, share=share, agree=agree), f"doc_id {index.schema['doc_id'].dataType.simpleString()}, p bigint, covered double")
+    found = by_doc.mapInArrow(functools.partial(_verified, share=share, agree=agree), f"doc_id {index.schema['doc_id'].dataType.simpleString()}, p int, covered double")
     pairs = found.join(passages, "p").join(wanted, "passage")
     return pairs.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
 
@@ -290,4 +292,4 @@ def _verified(batches: Iterator[pa.RecordBatch], share: float, agree: float) ->
                     docs.append(d[x])
                     ps.append(q[x])
                     shares.append(float(mask.mean()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(ps, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "p", "covered"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(ps, pa.int32()), pa.array(shares, pa.float64())], names=["doc_id", "p", "covered"])
