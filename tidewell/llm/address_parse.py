@@ -61,13 +61,6 @@ def number_of(s: str | None) -> int | None:
     return total + cur
 
 
-def spell(name: str | None) -> str | None:
-    """Romanised token of a written name; unknown characters stand for themselves."""
-    if name is None:
-        return None
-    return "".join(SYLLABLE.get(c, c) for c in name)
-
-
 @dataclass
 class Location:
     district: str | None = None
@@ -146,8 +139,7 @@ def parse_location(text: str | None, districts: dict[str, str], admin: tuple[str
             loc.phase = number_of(m["phase"])
             loc.building, loc.unit, loc.room = number_of(m["bldg"]), number_of(m["unit"]), number_of(m["room"])
             if m["dist"]:
-                want = m["dist"].lower()
-                loc.district = next((full for bare, full in districts.items() if romanised(bare) == want), want)
+                loc.district = m["dist"].lower()  # romanised; the caller knows the readings
             return loc
     # building, unit and room first: they carry their own marks
     if m := _DASH.search(s):
@@ -217,10 +209,3 @@ def parse_location(text: str | None, districts: dict[str, str], admin: tuple[str
                     break
     return loc
 
-
-# Readings of the characters of district names.
-_DISTRICT_READINGS = dict(zip("栖桐望潮云麓砚湾沐汀青松屿岚泊临汐禾渡", "qi tong wang chao yun lu yan wan mu ting qing song yu lan bo lin xi he du".split(), strict=True))
-
-
-def romanised(name: str) -> str:
-    return "".join(_DISTRICT_READINGS.get(c, SYLLABLE.get(c, c)) for c in name)

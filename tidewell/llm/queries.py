@@ -63,6 +63,12 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]
     return records, A.district_names(orders.select("region"), cases.select("official_label.region"))
 
 
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership behind the pairs: each record that names a place, with the place."""
+    records, districts = _places(spark, sf_dir)
+    return A.members(records, districts, keep=lambda df: materialise(df, "p3")).select("rec_key", "place", "district", "town")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, districts = _places(spark, sf_dir)
     return A.match_addresses(records, districts, keep=lambda df: materialise(df, "p3"))
@@ -139,6 +145,7 @@ def queries() -> dict:
         "p2_found": p2_found,
         "p2_lines": p2_lines,
         "p3_found": p3_found,
+        "p3_places": p3_places,
         "p4_found": p4_found,
         "p4_turns": p4_turns,
         "p5_found": p5_found,
