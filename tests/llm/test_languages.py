@@ -35,4 +35,4 @@ def test_samples_are_whole(spark):
     long = "材料可以拍照上传。" * 900
     df = spark.createDataFrame([(1, long, "zh")], "doc_id long, text string, lang string")
     assert G.sample_labelled(df, "doc_id", "text", "lang") == ([long], [G.LANGS.index("zh")])
-    assert pii.sample_texts(df, ["doc_id"], "text") == [long]
+    assert pii.sample_texts(df, ["doc_id"], "text") == ([long], [[]])

@@ -32,7 +32,7 @@ def test_places(spark):
         ("a1", "栖桐区花市街道舒辰北路301号宁星祥佳园5栋"), ("a2", "宁星祥佳园5#楼1单元101室"), ("a3", "舒辰北路三百零一号五幢"), ("a4", "Bldg 5, Ningxingxiang Estate, 301 Shuchen North Road, Qitong District"),
         ("a5", "5座，宁兴祥佳园，书辰北路301#，花市街办，栖桐"), ("b1", "宁星祥佳园6栋"), ("b2", "砚湾区宁星祥佳园6栋"), ("c1", "砚湾区乐汀街336号"), ("c2", "336号乐汀街"), ("c3", "砚湾乐汀街337号"),
         ("d1", "锦岚北路/鹤翠巷"), ("d2", "岚泊县鹤翠巷、锦岚北路交口"), ("e1", "小区门口"), ("e2", "小区门口"), ("f1", None), ("f2", ""), ("a1", "栖桐区花市街道舒辰北路301号宁星祥佳园5栋"),
-        ("g1", "栖桐区舒辰北路301号宁星祥佳园6栋"), ("h1", "宁星祥花园5栋"), ("i1", "魚辰路9号"), ("i2", "榆辰路9号"), ("i3", "榆辰路9号"), ("j1", "栖桐区舒辰北路8号"), ("j2", "栖桐区舒辰北路10号"),
+        ("g1", "栖桐区舒辰北路301号宁星祥佳园6栋"), ("h1", "宁星祥花园5栋"), ("i1", "魚辰路9号"), ("i2", "榆辰路9号"), ("i3", "榆辰路9号"), ("k1", "榆安路77号"), ("k2", "榆安巷78号"), ("k3", "榆乐路79号"), ("j1", "栖桐区舒辰北路8号"), ("j2", "栖桐区舒辰北路10号"),
     ]
     df = spark.createDataFrame([(*x, "y") for x in same], "rec_key string, location string, place string")
     got = {(r["key_a"], r["key_b"]) for r in A.match_addresses(df, D, lambda x: materialise(x, "t")).collect()}

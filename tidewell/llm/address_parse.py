@@ -11,20 +11,6 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-# Readings of the characters that place names use, one syllable a line entry.
-READINGS = {
-    "an": "安按", "bai": "柏", "bo": "泊伯博", "chao": "", "chen": "辰晨", "cui": "翠脆",
-    "du": "渡度", "feng": "枫风", "gui": "桂贵", "he": "荷鹤和合何贺", "hong": "虹红",
-    "hui": "晖辉", "ji": "霁际", "jin": "锦槿瑾", "jing": "景", "lan": "岚澜兰蓝", "le": "乐勒",
-    "ling": "菱凌", "lu": "鹿芦录卢", "ming": "明铭", "ning": "宁凝", "qi": "启起", "rui": "瑞睿",
-    "shu": "舒书", "ting": "汀厅", "tong": "桐同", "wan": "湾弯", "wang": "望旺", "wu": "梧吴",
-    "xi": "溪西", "xiang": "祥详", "xing": "星杏兴幸", "xiu": "绣秀", "yin": "银吟", "yu": "榆渝",
-    "zhao": "朝潮",
-}
-SYLLABLE = {c: s for s, cs in READINGS.items() for c in cs}
-#: Syllables that are written for one another.
-SYLLABLE |= {"景": "jin"}
-
 # What estates, roads and the parts of an address are called.
 ESTATE_KINDS = (
     "花园", "广场", "名邸", "雅居", "新村", "佳园", "小区", "华庭", "豪庭", "公寓", "家园", "公馆", "里", "府", "城", "苑",

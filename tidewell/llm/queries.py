@@ -96,17 +96,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, rec_key, turn_no, text of every text with personal data; repeats count once."""
+    """src, rec_key, turn_no, text, locations of every text with personal data; repeats count once."""
     orders, cases, talks = (table(spark, sf_dir, t) for t in ("workorders", "intake_cases", "dialogue_turns"))
-    one = orders.select(F.lit("workorders").alias("src"), F.col("case_id").alias("rec_key"), F.lit(0).alias("turn_no"), F.col("source.raw_text").alias("text"))
-    two = cases.select(F.lit("intake_cases").alias("src"), F.col("id").alias("rec_key"), F.lit(0).alias("turn_no"), "text")
-    three = talks.select(F.lit("dialogue_turns").alias("src"), F.col("case_id").alias("rec_key"), F.col("turn_idx").alias("turn_no"), "text")
+    one = orders.select(F.lit("workorders").alias("src"), F.col("case_id").alias("rec_key"), F.lit(0).alias("turn_no"), F.col("source.raw_text").alias("text"), F.array("elements.location").alias("locations"))
+    two = cases.select(F.lit("intake_cases").alias("src"), F.col("id").alias("rec_key"), F.lit(0).alias("turn_no"), "text", F.col("expected.location").alias("locations"))
+    three = talks.select(F.lit("dialogue_turns").alias("src"), F.col("case_id").alias("rec_key"), F.col("turn_idx").alias("turn_no"), "text", F.array().cast("array<string>").alias("locations"))
     return one.unionByName(two).unionByName(three).dropDuplicates(["src", "rec_key", "turn_no"])
 
 
 def _redactor(spark: SparkSession, sf_dir: str, texts: DataFrame) -> P.Redactor:
     districts = A.district_names(table(spark, sf_dir, "workorders").select("region"), table(spark, sf_dir, "intake_cases").select("official_label.region"))
-    return P.train(P.sample_texts(texts, ["src", "rec_key", "turn_no"], "text"), tuple(districts.values()))
+    sample, locations = P.sample_texts(texts, ["src", "rec_key", "turn_no"], "text", "locations")
+    return P.train(sample, tuple(districts.values()), locations)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
