@@ -91,6 +91,40 @@ def test_undeclared_order_learned_from_the_source(spark, senders):
     assert got["03/04/2025", "r"]["status"] == "ambiguous" and got["03/04/2025", "r"]["utc_us"] is None
 
 
+def test_posteriors_against_a_wrong_declaration(spark, senders):
+    """A sender whose values contradict the declared order: the mixture overrules the declaration."""
+    more = senders.unionByName(spark.createDataFrame([("w", "UTC", "mdy")], senders.schema))
+    clear = [("%02d/%02d/2025" % (d, m), "w") for d in range(13, 29) for m in range(1, 13)] * 3
+    df = spark.createDataFrame([*clear, ("03/04/2025", "w"), ("03/04/2025", "ny")], "v string, src string")
+    got = {(r["v"], r["src"]): r for r in normalise_instants(df, "v", "src", more).collect()}
+    assert got["03/04/2025", "w"]["utc_us"] == us(2025, 4, 3)
+    assert got["03/04/2025", "ny"]["utc_us"] == us(2025, 3, 4, 5)
+
+
+def test_year_first_with_two_digits(spark, senders):
+    more = senders.unionByName(spark.createDataFrame([("y", "UTC", None), ("z", "UTC", None)], senders.schema))
+    learned = [("%02d-%02d-%02d" % (y, m, d), "y") for y in (97, 98, 99) for m in range(1, 13) for d in (5, 17)]  # 97 is no day
+    df = spark.createDataFrame([("24/03/05", "sh"), ("24/03/05", "be"), ("24/03/05", "z"), *learned, ("24-03-05", "y"), ("31/12/99", "ny")], "v string, src string")
+    got = {(r["v"], r["src"]): r for r in normalise_instants(df, "v", "src", more).collect()}
+    assert got["24/03/05", "sh"]["utc_us"] == us(2024, 3, 4, 16)
+    assert got["24/03/05", "be"]["utc_us"] == us(2005, 3, 23, 23)
+    assert got["24/03/05", "z"]["status"] == "ambiguous"
+    assert got["24-03-05", "y"]["utc_us"] == us(2024, 3, 5)
+    assert got["31/12/99", "ny"]["utc_us"] == us(1999, 12, 31, 5)  # the year can't stand first there
+
+
+def test_ten_digits(spark, senders):
+    """Seconds or a date with an hour: the source's other values decide, by themselves they stay marked."""
+    more = senders.unionByName(spark.createDataFrame([("e", "UTC", None), ("h", "UTC", None), ("x", "UTC", None)], senders.schema))
+    rows = [(str(1748471859 + 999 * i), "e") for i in range(40)] + [(f"20250{m}{d:02d}{h:02d}", "h") for m in range(1, 8) for d in (5, 17) for h in (3, 21)]
+    twice = "2013051207"  # 12 May 2013, 7 o'clock; or October 2033
+    df = spark.createDataFrame([*rows, (twice, "e"), (twice, "x"), ("1748471859", "x"), ("2099123199", "h")], "v string, src string")
+    got = {(r["v"], r["src"]): r for r in normalise_instants(df, "v", "src", more).collect()}
+    assert got[twice, "e"]["utc_us"] == int(twice) * 1_000_000
+    assert got[twice, "x"]["status"] == "ambiguous" and got["1748471859", "x"]["utc_us"] == 1748471859000000
+    assert got["2099123199", "h"]["utc_us"] == 2099123199000000  # no hour of 99
+
+
 def test_clashing_columns_repeats_and_empty(spark, senders):
     df = spark.createDataFrame([("2025-01-01T00:00:00Z", "sh", "kept", "old")] * 2, "status string, src string, extra string, utc_us string")
     rows = normalise_instants(df, "status", "src", senders).collect()

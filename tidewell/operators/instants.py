@@ -1,10 +1,12 @@
 """Mixed timestamp formats and time zones, normalised to one UTC instant in microseconds.
 
-A value may have several readings: the order of an all-number date, the zone an abbreviation
-stands for.  Each source gets a mixture over readings, fitted by expectation-maximisation: a
-value contributes likelihood to every reading under which it is possible, the source's declared
-order enters as a Dirichlet prior, and the posterior chooses the reading.  What stays undecided
-is marked, not guessed.
+A value may have several readings: the format of a run of ten digits (seconds since 1970, or year,
+month, day and hour), the order of an all-number date (year, day or month first), the zone an
+abbreviation stands for.  Each source gets a mixture over the readings of each kind, fitted by
+expectation-maximisation: a value contributes likelihood to every reading under which it is possible,
+the source's declared order enters as a Dirichlet prior, and the posterior chooses the reading, against
+the declaration where the source's values do.  A year after ``LAST_YEAR`` makes a reading unlikely.
+What stays undecided is marked, not guessed.
 
 Defined results (column ``status``):
 
@@ -42,6 +44,9 @@ ABBREVIATIONS = {
 NAMED_ZONES = {"北京时间": "Asia/Shanghai"}
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 ORDERS = ("ymd", "dmy", "mdy")
+FORMATS = ("seconds", "hour")
+#: years that digits and two-digit years may plausibly mean, and the likelihood of others
+FIRST_YEAR, LAST_YEAR, FAR = 1990, 2035, 0.01
 _AREAS = ("Africa", "America", "Antarctica", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific")
 
 _ZONE = r"((?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]{1,5}|北京时间)?\s*(?:\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\])?"
@@ -52,6 +57,7 @@ _AMPM = r"\s*([AaPp][Mm])?\s*\(?"
 #: family -> pattern, and the groups that are y, m, d, half, h, mi, s, fraction, am/pm, zone, region (0: none)
 _FAMILIES = {
     "iso": (rf"^(\d{{4}})[-/.年](\d{{1,2}})[-/.月](\d{{1,2}})日?[Tt ]*{_HALF}\s*{_CLOCK}{_AMPM}{_ZONE}\)?$", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)),
+    "hour": (r"^(\d{4})(\d{2})(\d{2})(\d{2})$", (1, 2, 3, 0, 4, 0, 0, 0, 0, 0, 0)),
     "compact": (rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,9}}))?)?)?\s*{_ZONE}$", (1, 2, 3, 0, 4, 5, 6, 7, 0, 8, 9)),
     "day_month": (rf"^(?:[A-Za-z]{{3,9}},? )?(\d{{1,2}}) ([A-Za-z]{{3}})[a-z]*\.?,? (\d{{4}}),? ?{_CLOCK_EN}{_AMPM}{_ZONE}\)?$", (3, 2, 1, 0, 4, 5, 6, 7, 8, 9, 10)),
     "month_day": (rf"^(?:[A-Za-z]{{3,9}},? )?([A-Za-z]{{3}})[a-z]*\.? (\d{{1,2}}),? (\d{{4}}),? ?{_CLOCK_EN}{_AMPM}{_ZONE}\)?$", (3, 1, 2, 0, 4, 5, 6, 7, 8, 9, 10)),
@@ -174,6 +180,8 @@ def normalise_instants(
         _tw_zt_d=F.regexp_replace(zone_text, "[^0-9]", ""),
         _tw_region=g[10],
         _tw_numeric=F.coalesce(g[11] == "numeric", F.lit(False)),
+        _tw_last=F.when(F.length(g[0]) == 2, year),  # the last number of a date with two-digit parts only
+        _tw_long=F.when(F.col("_tw_v").rlike(r"^\d{10}$"), F.col("_tw_v").cast("bigint")),
     )
     # hour on the 24-hour clock; null where the parts of the day and the hour disagree
     h, half, ap = F.col("_tw_h0"), F.col("_tw_half"), F.col("_tw_ap")
@@ -192,12 +200,20 @@ def normalise_instants(
     numeric = F.col("_tw_numeric")
     dmy = numeric & _date_possible(y, b, a)
     mdy = numeric & _date_possible(y, a, b)
+    first = F.when(a >= 70, a + 1900).otherwise(a + 2000)  # the year, if it stands first
+    ymd = numeric & _date_possible(first, b, F.col("_tw_last"))
     clock = F.col("_tw_h").isNotNull() & (F.col("_tw_mi") < 60) & (F.col("_tw_s") < 60) & ((F.col("_tw_h") < 24) | ((F.col("_tw_h") == 24) & (F.col("_tw_mi") == 0) & (F.col("_tw_s") == 0)))
     wall0 = F.expr("try_make_timestamp(_tw_y, _tw_m, _tw_d, least(_tw_h, 23), _tw_mi, cast(_tw_s as decimal(8,6)), 'UTC')")
-    fields = computed(fields, _tw_clock=F.coalesce(clock, F.lit(False)), _tw_wall0=wall0, _tw_dmy=dmy, _tw_mdy=mdy)
+    fields = computed(fields, _tw_clock=F.coalesce(clock, F.lit(False)), _tw_wall0=wall0, _tw_dmy=dmy, _tw_mdy=mdy, _tw_ymd=ymd)
     dmy, mdy, wall0 = F.col("_tw_dmy"), F.col("_tw_mdy"), F.col("_tw_wall0")
     # signature 1: which orders are possible; signature 2: which offset of an abbreviation the sender's zone has then
-    order_sig = F.array(F.lit(0.0), dmy.cast("double"), mdy.cast("double"))
+    likely = lambda ok, year: F.when(ok, F.when(year.between(FIRST_YEAR, LAST_YEAR), 1.0).otherwise(FAR)).otherwise(0.0)
+    ymd = F.col("_tw_ymd")
+    order_sig = F.array(likely(ymd, first), likely(dmy, y), likely(mdy, y))
+    # ten digits: seconds, or a date with an hour
+    seconds = F.col("_tw_long")
+    clock_date = _date_possible(y, b, a) & F.coalesce(F.col("_tw_h0") < 24, F.lit(False))
+    format_sig = F.array(likely(seconds.isNotNull(), F.year(F.timestamp_seconds(seconds))), likely(clock_date, y))
     prior = F.coalesce(F.array_position(F.array(*map(F.lit, ORDERS)), F.col("_tw_order")).cast("int") - 1, F.lit(-1))
     many = {k: v for k, v in ABBREVIATIONS.items() if len(v) > 1}
     zone_ok = F.col("_tw_zone").isin(_zone_ids())
@@ -208,11 +224,12 @@ def normalise_instants(
         many.items(),
         F.when(F.lit(False), F.array(F.lit(0.0))),
     )
-    fields = computed(fields, _tw_os=F.when(numeric & (dmy | mdy), order_sig), _tw_prior=prior, _tw_zs=abbr_sig)
+    reading = F.when(numeric, "order").when(seconds.isNotNull(), "format")
+    fields = computed(fields, _tw_ov=reading, _tw_os=F.when(numeric & (dmy | mdy | ymd), order_sig).when(seconds.isNotNull(), format_sig), _tw_prior=F.when(numeric, prior).otherwise(-1), _tw_zs=abbr_sig)
 
     var = lambda name, sig, pr: F.struct(name.alias("_tw_var"), F.col(sig).alias("_tw_sig"), pr.alias("_tw_prior"))
     counts = (
-        fields.select(F.coalesce(F.col("_tw_source"), F.lit("")).alias("_tw_source"), F.inline(F.array(var(F.lit("order"), "_tw_os", F.col("_tw_prior")), var(F.col("_tw_zt"), "_tw_zs", F.lit(-1)))))
+        fields.select(F.coalesce(F.col("_tw_source"), F.lit("")).alias("_tw_source"), F.inline(F.array(var(F.col("_tw_ov"), "_tw_os", F.col("_tw_prior")), var(F.col("_tw_zt"), "_tw_zs", F.lit(-1)))))
         .filter(F.col("_tw_sig").isNotNull())
         .groupBy("_tw_source", "_tw_var", "_tw_sig", "_tw_prior")
         .agg(F.count("*").alias("n"))
@@ -223,16 +240,16 @@ def normalise_instants(
         p = post.select(F.col("_tw_source").alias("_tw_ps"), F.col("_tw_var").alias("_tw_pv"), F.col("_tw_sig").alias("_tw_pg"), F.col("_tw_post").alias(into))
         return p, (F.coalesce(F.col("_tw_source"), F.lit("")) == p["_tw_ps"]) & (var == p["_tw_pv"]) & (F.col(sig) == p["_tw_pg"])
 
-    p1, on1 = look(F.lit("order"), "_tw_os", "_tw_po")
+    p1, on1 = look(F.col("_tw_ov"), "_tw_os", "_tw_po")
     out = fields.join(p1, on1, "left").drop("_tw_ps", "_tw_pv", "_tw_pg")
     p2, on2 = look(F.col("_tw_zt"), "_tw_zs", "_tw_pz")
     out = out.join(p2, on2, "left").drop("_tw_ps", "_tw_pv", "_tw_pg")
 
     best = F.array_max("_tw_po")
     pick = F.array_position("_tw_po", best)
-    swap = numeric & (pick == 3)  # month first: the first number is the month
-    out = computed(out, _tw_mo=F.when(swap, a).otherwise(b), _tw_da=F.when(swap, b).otherwise(a))
-    date_ok = _date_possible(y, F.col("_tw_mo"), F.col("_tw_da"))
+    swap, lead = numeric & (pick == 3), numeric & (pick == 1)  # the first number is the month, or the year
+    out = computed(out, _tw_yr=F.when(lead, first).otherwise(y), _tw_mo=F.when(swap, a).otherwise(b), _tw_da=F.when(swap, b).when(lead, F.col("_tw_last")).otherwise(a))
+    date_ok = _date_possible(F.col("_tw_yr"), F.col("_tw_mo"), F.col("_tw_da"))
     zt = F.col("_tw_zt")
     single = reduce(lambda acc, kv: acc.when(zt == kv[0], F.lit(kv[1][0])), [kv for kv in ABBREVIATIONS.items() if len(kv[1]) == 1], F.when(F.lit(False), 0))
     zbest = F.array_max("_tw_pz")
@@ -250,7 +267,7 @@ def normalise_instants(
     out = computed(
         out,
         _tw_rg=F.when(F.col("_tw_off").isNull(), F.when(F.col("_tw_rg0").isin(_zone_ids()), F.col("_tw_rg0"))),
-        _tw_wall=F.when(date_ok & F.col("_tw_clock"), F.expr("try_make_timestamp(_tw_y, _tw_mo, _tw_da, _tw_h % 24, _tw_mi, cast(_tw_s as decimal(8,6)), 'UTC') + make_interval(0, 0, 0, 0, 24 * (_tw_h div 24), 0, _tw_us / 1000000d)")),
+        _tw_wall=F.when(date_ok & F.col("_tw_clock"), F.expr("try_make_timestamp(_tw_yr, _tw_mo, _tw_da, _tw_h % 24, _tw_mi, cast(_tw_s as decimal(8,6)), 'UTC') + make_interval(0, 0, 0, 0, 24 * (_tw_h div 24), 0, _tw_us / 1000000d)")),
     )
     rg = F.coalesce(F.col("_tw_rg"), F.lit("UTC"))
     out = computed(out, _tw_utc=F.to_utc_timestamp("_tw_wall", rg))
@@ -258,12 +275,12 @@ def normalise_instants(
     back = F.from_utc_timestamp(utc, rg)
     again = reduce(lambda x, k: x | (F.from_utc_timestamp(utc + F.expr(f"INTERVAL '{k}' MINUTE"), rg) == F.col("_tw_wall")), (-120, -60, -30, 30, 60, 120), F.lit(False))
     date_only = F.col("_tw_h0").isNull()
-    epoch = F.when(F.col("_tw_v").rlike(r"^\d{10}$"), F.col("_tw_v").cast("bigint") * 1_000_000).when(F.col("_tw_v").rlike(r"^\d{13}$"), F.col("_tw_v").cast("bigint") * 1000).when(F.col("_tw_v").rlike(r"^\d{16}$"), F.col("_tw_v").cast("bigint"))
+    epoch = F.when(F.col("_tw_long").isNotNull() & (pick == 1), F.col("_tw_long") * 1_000_000).when(F.col("_tw_v").rlike(r"^\d{13}$"), F.col("_tw_v").cast("bigint") * 1000).when(F.col("_tw_v").rlike(r"^\d{16}$"), F.col("_tw_v").cast("bigint"))
     wall, off = F.col("_tw_wall"), F.col("_tw_off")
     doubt = F.least(F.coalesce(best, F.lit(1.0)), F.coalesce(zbest, F.lit(1.0)))
     status = (
         F.when(F.col("_tw_v").isNull() | (F.col("_tw_v") == ""), "missing")
-        .when(epoch.isNotNull(), "ok")
+        .when(epoch.isNotNull(), F.when(doubt < min_posterior, "ambiguous").otherwise("ok"))
         .when(wall.isNull(), "invalid")
         .when(off.isNull() & F.col("_tw_rg").isNull(), "invalid")
         .when(doubt < min_posterior, "ambiguous")
