@@ -1,6 +1,9 @@
 """Held-out languages."""
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 
 from tidewell.llm import languages as G
 
@@ -36,3 +39,59 @@ def test_samples_are_whole(spark):
     df = spark.createDataFrame([(1, long, "zh")], "doc_id long, text string, lang string")
     assert G.sample_labelled(df, "doc_id", "text", "lang") == ([long], [G.LANGS.index("zh")])
     assert pii.sample_texts(df, ["doc_id"], "text") == ([long], [[]])
+
+
+def test_ranks_and_distance_by_hand():
+    """The out-of-place distance against a plain reading of its definition."""
+    texts = ["die Katze und die Maus und die Ziege", "el gato y el perro y el pez", "中文的中文和中国", "mixed 中文 words"]
+    p = G.fit(texts[:3] * 4, [G.LANGS.index(x) for x in ("de", "es", "zh")] * 4, rounds=1, calibrate=False)
+    t = G.read(texts)
+    dist, total, _ = G.distances(p, t, t.sent_doc, len(texts))
+    for d in range(3):
+        seen = Counter()
+        for keys, i in G.grams(t):
+            seen.update(keys[t.sent_doc[t.sent[i]] == d].tolist())
+        assert total[d] == sum(seen.values())
+        for j in range(len(G.LANGS)):
+            want = 0
+            for k, n in seen.items():
+                rank = sum(m > n for m in seen.values())
+                at = np.nonzero(p.keys == np.uint64(k))[0]
+                r = int(p.ranks[at[0], j]) if len(at) else G.PROFILE
+                want += abs(r - rank) if r < G.PROFILE else G.PROFILE
+            assert dist[d, j] == want
+
+
+def test_every_listed_gram_is_found():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 62, 400_000).astype(np.uint64))  # many share a slot
+    p = G.Profiles(keys, np.zeros((len(keys), 8), np.int16), [])
+    assert (p.look(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(1, 1 << 62, 1000).astype(np.uint64), keys)
+    assert (p.look(other) == len(keys)).all()
+
+
+def test_confidence_is_calibrated(small):
+    rows = duckdb.sql(f"select text, lang from '{small}/documents.parquet' where text is not null and lang in ('zh','en','de','fr','es','pt','ja','ko') order by doc_id").fetchall()
+    p = G.fit([t for t, _ in rows[::2]], [G.LANGS.index(x) for _, x in rows[::2]])
+    conf, right = [], []
+    for (_, lang), parts in zip(rows[1::2], G.detect(p, [t for t, _ in rows[1::2]]), strict=True):
+        if len(parts) == 1:
+            conf.append(parts[0][4])
+            right.append(G.LANGS[parts[0][0]] == lang)
+    assert all(0 < c < 1 for c in conf)
+    assert sum(conf) / len(conf) > sum(right) / len(right) - 0.02  # the labels, not the profiles, are wrong in a tenth
+    x, y = G.isotonic(np.array([0.1, 0.2, 0.3, 0.4] * 10), np.array([0.0, 1, 0, 1] * 10))
+    assert list(y) == sorted(y) and len(x) == len(y)
+
+
+def test_stops_between_scripts_and_weak_stretches(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    p = G.fit(*G.sample_labelled(docs, "doc_id", "text", "lang"))
+    text = "번호표가 금방 떨어지니 오전에 방문해 주십시오.回复内容：您反映的充电桩长期离线已转公共安全局，预计书面告知。"
+    assert [G.LANGS[x[0]] for x in G.detect(p, [text])[0]] == ["ko", "zh"]
+    dist = np.full((3, 8), 100.0)
+    dist[[0, 2], 4], dist[1, 5], dist[1, 4] = 50, 95, 100  # the middle is hardly nearer to its own
+    assert list(G.joined(np.array([4, 5, 4]), dist)) == [4, 4, 4]
+    dist[1, 5] = 50
+    assert list(G.joined(np.array([4, 5, 4]), dist)) == [4, 5, 4]

@@ -1,19 +1,27 @@
 """Language of documents and of the one-language stretches of mixed ones, by rank-order profiles.
 
 A profile lists the n-grams of a language by frequency (runs of one to three letters within a word,
-with its edges, for alphabets; of one or two characters for Han, kana and hangul).  A text is
-compared by out-of-place distance: each of its n-grams adds how far its rank in the text is from its
-rank in the profile, or the whole length of the profile if it isn't listed; the nearest profile wins,
-and the confidence is the relative lead on the second nearest.  The n-grams of one sentence occur once
-or twice, so their ranks tie; tied n-grams share rank 0, which makes the distance of a sentence a sum
-of look-ups, and that of a stretch or document the sum over its sentences.
+with its edges, for alphabets; of one or two characters for Han, kana and hangul).  A text, be it a
+document, a stretch or a sentence, is ranked the same way: its different n-grams by how often they
+occur in it, equal counts sharing a rank, the ``PROFILE`` most frequent ones.  The out-of-place distance
+adds, for each of them, how far its rank in the text is from its rank in the profile, or the whole
+length of the profile if it isn't listed; the nearest profile wins.
+
+Sentences are judged first; weak ones take the language of the stretch they stand in, and a stretch
+that is not clearly nearer to its own profile than to its neighbour's joins the neighbour.  A document
+of one stretch has the language nearest to the ranks of the whole document; a mixed one that of most
+letters.
+
+The confidence is the share of texts of that size and relative lead (of the nearest profile on the
+second) that were judged rightly among held-out documents: calibrated by isotonic regression, one curve
+for each class of ``SIZES`` letters.
 
 Profiles are fitted on a bounded sample of labelled documents (``sample_docs`` a language, taken by
-hash of the key): fit, let the profiles relabel the sample, and fit again, twice, so that wrong
-labels drop out.  Everything else reads every document whole.
+hash of the key): fit, let the profiles relabel the sample, and fit again, twice, with the
+sentences that agree with their document, so that wrong labels and mixed texts drop out.  Everything else reads every document whole.
 
-Sentences end at 。！？!?… , at a full stop before anything but a small letter or a digit, and at line ends.  Sentences with hardly
-a letter, and short ones whose lead is small, take the language of the stretch they stand in.
+Sentences end at 。！？!?… , at line ends, at a full stop before anything but a small letter or a digit,
+and at one between scripts.
 
 Defined results: null, empty and wordless texts give no rows; unknown label spellings count as
 missing; ties between languages go to the first in the order of ``LANGS``.
@@ -24,7 +32,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -44,6 +52,10 @@ NAMES = {
     "ko": ("kor", "korean", "한국어", "韩语", "kr"),
 }
 PROFILE, SAMPLE_DOCS = 1500, 200
+#: upper bounds of the letters of a text, a calibration curve each (Han, kana and hangul count double)
+SIZES = (40, 120, 400, 1 << 62)
+#: a stretch is at least by this share nearer to its own language than to its neighbour's
+LEAST_LEAD = 0.12
 _SLOT_BITS = 20
 _ENDS = "。！？!?…\n\r"
 _EDGE = 1  # stands for both edges of a word
@@ -53,10 +65,8 @@ def label_code(c: Column) -> Column:
     """Code of a written language label; null if missing or no language."""
     w = F.lower(F.trim(c))
     base = F.regexp_replace(w, r"^([a-z]{2,3})[-_].*$", "$1")
-    out = F.when(F.lit(False), "")
-    for code, names in NAMES.items():
-        out = out.when(base.isin(code, *names) | w.isin(*names), code)
-    return out
+    codes = F.create_map(*[F.lit(x) for code, names in NAMES.items() for name in (code, *names) for x in (name, code)])
+    return F.coalesce(F.try_element_at(codes, w), F.try_element_at(codes, base))
 
 
 @functools.cache
@@ -120,6 +130,9 @@ def read(texts: list[str | None]) -> Text:
     inner = dot[(dot > 0) & (dot + 1 < len(flat))]
     joined = _case()[flat[inner - 1]] == 1
     joined &= (_case()[flat[inner + 1]] == 2) | (kind[flat[inner + 1]] == 2)
+    # and one between Han, kana or hangul and any letter
+    before, behind = kind[flat[inner - 1]], kind[flat[inner + 1]]
+    joined |= ((before == 2) & (behind > 0)) | ((before > 0) & (behind == 2))
     end[inner[joined]] = True
     new = first.copy()
     new[1:] |= end[:-1]
@@ -170,90 +183,167 @@ def grams(t: Text) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Profiles:
-    key: np.ndarray  # slot -> n-gram
-    rank: np.ndarray  # slot -> rank in each language's profile
-    mult: np.uint64
+    """The listed n-grams in order, their ranks in each language's profile, and a table that finds them."""
+
+    keys: np.ndarray  # sorted
+    ranks: np.ndarray
+    curves: list[tuple[np.ndarray, np.ndarray]]  # of each size class: leads, and the share judged rightly from there on
+    slot: np.ndarray = field(default=None, repr=False)  # place of the n-gram of a slot, -1: none, -2: several
 
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __post_init__(self) -> None:
+        self.slot = np.full(1 << _SLOT_BITS, -1, np.int32)
+        s = self._slots(self.keys)
+        self.slot[s] = np.arange(len(s))
+        several = np.bincount(s, minlength=1 << _SLOT_BITS) > 1
+        self.slot[several] = -2
+
+    def __getstate__(self):
+        return (self.keys, self.ranks, self.curves)
+
+    def __setstate__(self, state) -> None:
+        self.keys, self.ranks, self.curves = state
+        self.__post_init__()
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            slot = ((keys * self.mult) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        return slot, self.key[slot] == keys
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each n-gram, len(self.keys) where it isn't listed."""
+        at = self.slot[self._slots(keys)].astype(np.int64)
+        many = np.nonzero(at == -2)[0]
+        at[many] = np.minimum(np.searchsorted(self.keys, keys[many]), max(0, len(self.keys) - 1))
+        at[at < 0] = len(self.keys)
+        listed = np.nonzero(at < len(self.keys))[0]
+        at[listed[self.keys[at[listed]] != keys[listed]]] = len(self.keys)
+        return at
 
+    def confidence(self, lead: float, letters: float) -> float:
+        x, y = self.curves[next(i for i, m in enumerate(SIZES) if letters < m)]
+        return float(y[max(0, np.searchsorted(x, lead, side="right") - 1)]) if len(x) else float(min(1.0, max(0.0, lead)))
 
-def fit(texts: list[str], labels: list[int], rounds: int = 3, size: int = PROFILE) -> Profiles:
+
+def fit(texts: list[str], labels: list[int], rounds: int = 3, size: int = PROFILE, calibrate: bool = True) -> Profiles:
     """Profiles of LANGS from labelled texts; labels are places in LANGS."""
     t = read(texts)
-    owner = t.sent_doc[t.sent] if len(t.sent) else np.zeros(0, np.int64)
-    parts = [(k, owner[i]) for k, i in grams(t)]
+    parts = [(k, t.sent[i]) for k, i in grams(t)]
     keys = np.concatenate([k for k, _ in parts])
-    docs = np.concatenate([d for _, d in parts])
+    sents = np.concatenate([d for _, d in parts])
     kinds, inv = np.unique(keys, return_inverse=True)
     lab = np.array(labels)
+    of = lab[t.sent_doc] if len(t.sent_doc) else np.zeros(0, np.int64)  # language of each sentence, -1: not used
     prof = None
     for r in range(rounds):
         counts = np.zeros((len(kinds), len(LANGS)), np.int64)
         for j in range(len(LANGS)):
-            counts[:, j] = np.bincount(inv[lab[docs] == j], minlength=len(kinds))
-        rank = np.full((len(kinds), len(LANGS)), size, np.int32)
+            counts[:, j] = np.bincount(inv[of[sents] == j], minlength=len(kinds))
+        rank = np.full((len(kinds), len(LANGS)), size, np.int16)
         for j in range(len(LANGS)):
             top = np.lexsort((kinds, -counts[:, j]))[:size]
             top = top[counts[top, j] > 0]
             rank[top, j] = np.arange(len(top))
         listed = np.nonzero((rank < size).any(axis=1))[0]
-        prof = _table(kinds[listed], rank[listed], size)
+        prof = Profiles(kinds[listed], rank[listed], [(np.zeros(0), np.zeros(0))] * len(SIZES))
         if r + 1 < rounds:
-            dist = np.zeros((len(texts), len(LANGS)))
-            for j in range(len(LANGS)):
-                dist[:, j] = np.bincount(docs, weights=rank[inv, j], minlength=len(texts))
-            got = dist.argmin(axis=1)
-            lab = np.where(dist.sum(axis=1) > 0, got, lab)
+            dist, total, _ = distances(prof, t, t.sent_doc, len(texts), size)
+            lab = np.where(total > 0, dist.argmin(axis=1), lab)
+            # sentences of a mixed text that are in another language don't count for the text's
+            one, n, _ = distances(prof, t, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
+            of = np.where((n > 0) & (one.argmin(axis=1) == lab[t.sent_doc]), lab[t.sent_doc], -1)
+    if calibrate:
+        prof.curves = _calibrated(texts, lab, size)
     return prof
 
 
-def _table(keys: np.ndarray, ranks: np.ndarray, size: int) -> Profiles:
-    best = None
-    for seed in range(24):  # the multiplier under which fewest n-grams share a slot
-        mult = np.uint64((0x9E3779B97F4A7C15 + 2 * seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF | 1)
-        with np.errstate(over="ignore"):
-            slot = ((keys * mult) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        n = len(np.unique(slot))
-        if best is None or n > best[0]:
-            best = (n, mult, slot)
-        if n == len(keys):
-            break
-    _, mult, slot = best
-    order = np.argsort(-ranks.min(axis=1), kind="stable")  # of two in a slot, the better placed stays
-    key = np.zeros(1 << _SLOT_BITS, np.uint64)
-    rank = np.full((1 << _SLOT_BITS, len(LANGS)), size, np.int16)
-    key[slot[order]] = keys[order]
-    rank[slot[order]] = ranks[order]
-    return Profiles(key, rank, mult)
-
-
-def distances(p: Profiles, t: Text, size: int = PROFILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence: out-of-place distance to each profile, n-grams, letters (Han, kana, hangul count double)."""
-    n = len(t.sent_doc)
-    dist = np.zeros((n, len(LANGS)))
-    total = np.zeros(n)
-    han = np.bincount(t.sent[t.kind == 2], minlength=n) * 2.0
-    alpha = np.bincount(t.sent[t.kind == 1], minlength=n)
+def leads(dist: np.ndarray) -> np.ndarray:
+    """Relative lead of the nearest profile on the second."""
+    two = np.partition(dist, 1, axis=1)
+    return np.where(two[:, 1] > 0, (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1), 0)
+
+
+def _calibrated(texts: list[str], lab: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Curves from sentences and documents of every fifth text, judged by profiles of the others."""
+    held = np.arange(len(texts)) % 5 == 4
+    if held.sum() < 5:
+        return [(np.zeros(0), np.zeros(0))] * len(SIZES)
+    p = fit([x for x, h in zip(texts, held, strict=True) if not h], list(lab[~held]), rounds=1, size=size, calibrate=False)
+    t, want = read([x for x, h in zip(texts, held, strict=True) if h]), lab[held]
+    one, n, letters = distances(p, t, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
+    all_, m, all_letters = distances(p, t, t.sent_doc, len(want), size)
+    # of a mixed text a sentence may rightly be in another language than the text: such texts don't calibrate
+    agree = np.bincount(t.sent_doc, weights=(one.argmin(axis=1) == want[t.sent_doc]) | (n == 0), minlength=len(want)) >= 0.8 * np.bincount(t.sent_doc, minlength=len(want))
+    s = (n > 0) & agree[t.sent_doc]
+    lead = np.concatenate([leads(one)[s], leads(all_)[m > 0]])
+    right = np.concatenate([one.argmin(axis=1)[s] == want[t.sent_doc[s]], all_.argmin(axis=1)[m > 0] == want[m > 0]]).astype(float)
+    amount = np.concatenate([letters[s], all_letters[m > 0]])
+    out, low = [], -1
+    for high in SIZES:
+        here = (amount > low) & (amount < high)
+        out.append(isotonic(lead[here], right[here]))
+        low = high - 1
+    return out
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising step function nearest to the points (pool adjacent violators): where steps begin, and their heights.
+
+    Each step holds one imagined wrong answer and one right one, so that no height is 0 or 1.
+    """
+    order = np.argsort(x, kind="stable")
+    blocks: list[list[float]] = []  # begin, right, number
+    for a, b in zip(x[order], y[order], strict=True):
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1][1] += last[1]
+            blocks[-1][2] += last[2]
+    return np.array([b[0] for b in blocks]), np.array([(b[1] + 1) / (b[2] + 2) for b in blocks])
+
+
+def distances(p: Profiles, t: Text, unit: np.ndarray, n: int, size: int = PROFILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of n units: out-of-place distance to each profile, n-grams, letters (Han, kana, hangul count double).
+
+    unit: the unit of each sentence.
+    """
+    sent_unit = unit[t.sent] if len(t.sent) else np.zeros(0, np.int64)
+    units = len(t.sent_doc)
+    han = np.bincount(t.sent[t.kind == 2], minlength=units) * 2.0
+    alpha = np.bincount(t.sent[t.kind == 1], minlength=units)
     main = np.where(han >= alpha, 2, 1)  # a foreign name in another script says nothing about the sentence
     own = t.kind == main[t.sent]
-    for keys, i in grams(t):
-        keep = own[i]
-        keys, i = keys[keep], i[keep]
-        if not len(keys):
-            continue
-        slot, ok = p.look(keys)
-        s = t.sent[i]
-        got = np.bincount(s, minlength=n)
-        total += got
-        s, slot = s[ok], slot[ok]
-        miss = got - np.bincount(s, minlength=n)
-        r = p.rank[slot]
-        for j in range(len(LANGS)):
-            dist[:, j] += np.bincount(s, weights=r[:, j], minlength=n) + miss * size
-    return dist, total, han + alpha
+    keys, owner = [], []
+    for k, i in grams(t):
+        i, k = i[own[i]], k[own[i]]
+        keys.append(k)
+        owner.append(sent_unit[i])
+    keys, owner = np.concatenate(keys), np.concatenate(owner).astype(np.int64)
+    letters = np.bincount(unit, weights=han + alpha, minlength=n)
+    dist, total = np.zeros((n, len(LANGS))), np.bincount(owner, minlength=n).astype(float)
+    if not len(keys):
+        return dist, total, letters
+    # each different n-gram of a unit with its count
+    with np.errstate(over="ignore"):
+        both = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(both)
+    first = np.nonzero(np.append(True, np.diff(both[order]) != 0))[0]
+    count = np.diff(np.append(first, len(order)))
+    one = order[first]
+    u = owner[one]
+    rank, higher = np.zeros(len(one), np.int64), np.zeros(n, np.int64)
+    for c in np.unique(count)[::-1]:  # equal counts share a rank: the number of more frequent ones
+        here = np.nonzero(count == c)[0]
+        rank[here] = higher[u[here]]
+        higher += np.bincount(u[here], minlength=n)
+    top = rank < size
+    one, u, rank = one[top], u[top], rank[top]
+    place = p.look(keys[one])
+    listed = place < len(p.keys)
+    dist += (np.bincount(u[~listed], minlength=n) * float(size))[:, None]
+    u, rank, r = u[listed], rank[listed], p.ranks[place[listed]].astype(np.int64)
+    for j in range(len(LANGS)):
+        dist[:, j] += np.bincount(u, weights=np.where(r[:, j] < size, np.abs(r[:, j] - rank), size), minlength=n)
+    return dist, total, letters
 
 
 def stretches(dist: np.ndarray, total: np.ndarray, letters: np.ndarray, least: float = 16.0, sure: float = 0.06, short: float = 40.0) -> np.ndarray:
@@ -285,30 +375,56 @@ def stretches(dist: np.ndarray, total: np.ndarray, letters: np.ndarray, least: f
     return lang
 
 
+def joined(lang: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """The languages of a document's sentences, where stretches that are hardly nearer to their own language than to a
+    neighbour's have taken the neighbour's; the weakest first."""
+    lang = lang.copy()
+    while True:
+        cut = np.append(0, np.nonzero(np.diff(lang))[0] + 1)
+        ends = np.append(cut[1:], len(lang))
+        weakest = None
+        for k, (x, y) in enumerate(zip(cut, ends, strict=True)):
+            d = dist[x:y].sum(axis=0)
+            for m in (k - 1, k + 1):
+                if 0 <= m < len(cut):
+                    other = lang[cut[m]]
+                    lead = (d[other] - d[lang[x]]) / d[other] if d[other] > 0 else 0.0
+                    if lead < LEAST_LEAD and (weakest is None or lead < weakest[0]):
+                        weakest = (lead, x, y, other)
+        if weakest is None:
+            return lang
+        lang[weakest[1] : weakest[2]] = weakest[3]
+
+
 def detect(p: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, int, float, float]]]:
     """Of each text its stretches: language, start, end, letters, confidence."""
     t = read(texts)
-    dist, total, letters = distances(p, t)
+    n = len(t.sent_doc)
+    dist, total, letters = distances(p, t, np.arange(n), n)
+    whole, grams_of, _ = distances(p, t, t.sent_doc, len(texts))
     at = np.searchsorted(t.sent_doc, np.arange(len(texts) + 1))
-    best = dist.argmin(axis=1)
-    out = []
-    for d in range(len(texts)):
+    best, nearest = dist.argmin(axis=1), whole.argmin(axis=1)
+    parts, unit = [], np.zeros(n, np.int64)
+    for d in np.nonzero(grams_of > 0)[0]:
         a, b = at[d], at[d + 1]
-        if b == a or not total[a:b].any():
-            out.append([])
-            continue
         g = total[a:b] > 0
         if (best[a:b][g] == best[a:b][g][0]).all():
-            lang = np.full(b - a, best[a:b][g][0])
+            lang = np.full(b - a, nearest[d])
         else:
-            lang = stretches(dist[a:b], total[a:b], letters[a:b])
+            lang = joined(stretches(dist[a:b], total[a:b], letters[a:b]), dist[a:b])
+            if (lang == lang[0]).all():
+                lang = np.full(b - a, nearest[d])
         cut = np.append(0, np.nonzero(np.diff(lang))[0] + 1)
-        rows = []
-        for x, y in zip(cut, np.append(cut[1:], b - a), strict=True):
-            ds = np.sort(dist[a + x : a + y].sum(axis=0))
-            conf = float((ds[1] - ds[0]) / ds[1]) if ds[1] > 0 else 0.0
-            rows.append((int(lang[x]), int(t.sent_start[a + x]), int(t.sent_end[a + y - 1]), float(letters[a + x : a + y].sum()), conf))
-        out.append(rows)
+        for x, y in zip(a + cut, a + np.append(cut[1:], b - a), strict=True):
+            unit[x:y] = len(parts) + 1
+            parts.append((int(d), int(lang[x - a]), int(x), int(y)))
+    # the stretches are texts of their own: ranked again for their confidence
+    mixed, _, _ = distances(p, t, unit, len(parts) + 1)
+    lead = leads(mixed)
+    out: list[list[tuple[int, int, int, float, float]]] = [[] for _ in texts]
+    for k, (d, lang, x, y) in enumerate(parts, 1):
+        amount = float(letters[x:y].sum())
+        out[d].append((lang, int(t.sent_start[x]), int(t.sent_end[y - 1]), amount, p.confidence(lead[k], amount)))
     return out
 
 
@@ -319,7 +435,7 @@ def sample_labelled(docs: DataFrame, key: str, text: str, label: str, per_lang:
     part = F.lit(False)
     for code, m in n.items():  # twice the share needed, so that too few are rare
         part = part | ((F.col("code") == code) & (F.pmod("h", F.lit(1 << 30)) <= int(min(1.0, 2.0 * per_lang / m) * (1 << 30))))
-    rows = base.filter(part & (F.length("t") >= 40)).select("h", "code", "t").orderBy("h").limit(4 * per_lang * len(LANGS)).collect()
+    rows = base.filter(part & (F.length("t") > 0)).select("h", "code", "t").orderBy("h").limit(4 * per_lang * len(LANGS)).collect()
     texts, labels, had = [], [], dict.fromkeys(LANGS, 0)
     for r in rows:
         if had[r["code"]] < per_lang:
@@ -339,17 +455,10 @@ def label_documents(docs: DataFrame, key: str, text: str, label: str, per_lang:
     profiles = fit(texts, labels) if texts else None
     src = docs.select(F.col(key), label_code(F.col(label)).alias("declared"), F.col(text).alias("_tw_text"))
     schema = f"`{key}` {src.schema[0].dataType.simpleString()}, seg_no int, lang_code string, confidence double, start_pos int, end_pos int, declared string"
-    small = None
-    if profiles is not None:  # the table is mostly empty: send what is listed
-        used = np.nonzero(profiles.key)[0]
-        small = (used, profiles.key[used], profiles.rank[used], profiles.mult)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [key, "seg_no", "lang_code", "confidence", "start_pos", "end_pos", "declared"]
-        p = None
-        if small is not None:
-            p = Profiles(np.zeros(1 << _SLOT_BITS, np.uint64), np.full((1 << _SLOT_BITS, len(LANGS)), PROFILE, np.int16), small[3])
-            p.key[small[0]], p.rank[small[0]] = small[1], small[2]
+        p = profiles
         for pdf in batches:
             rows = []
             keys, said, all_texts = pdf[key].to_list(), pdf["declared"].to_list(), pdf["_tw_text"].to_list()
