@@ -46,7 +46,7 @@ def test_ranks_and_distance_by_hand():
     texts = ["die Katze und die Maus und die Ziege", "el gato y el perro y el pez", "中文的中文和中国", "mixed 中文 words"]
     p = G.fit(texts[:3] * 4, [G.LANGS.index(x) for x in ("de", "es", "zh")] * 4, rounds=1, calibrate=False)
     t = G.read(texts)
-    dist, total, _ = G.distances(p, t, t.sent_doc, len(texts))
+    dist, total, _ = G.distances(p, G.occurrences(t), t.sent_doc, len(texts))
     for d in range(3):
         seen = Counter()
         for keys, i in G.grams(t):

@@ -227,6 +227,7 @@ class Profiles:
 def fit(texts: list[str], labels: list[int], rounds: int = 3, size: int = PROFILE, calibrate: bool = True) -> Profiles:
     """Profiles of LANGS from labelled texts; labels are places in LANGS."""
     t = read(texts)
+    o = occurrences(t)
     parts = [(k, t.sent[i]) for k, i in grams(t)]
     keys = np.concatenate([k for k, _ in parts])
     sents = np.concatenate([d for _, d in parts])
@@ -246,10 +247,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3, size: int = PROFIL
         listed = np.nonzero((rank < size).any(axis=1))[0]
         prof = Profiles(kinds[listed], rank[listed], [(np.zeros(0), np.zeros(0))] * len(SIZES))
         if r + 1 < rounds:
-            dist, total, _ = distances(prof, t, t.sent_doc, len(texts), size)
+            dist, total, _ = distances(prof, o, t.sent_doc, len(texts), size)
             lab = np.where(total > 0, dist.argmin(axis=1), lab)
             # sentences of a mixed text that are in another language don't count for the text's
-            one, n, _ = distances(prof, t, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
+            one, n, _ = distances(prof, o, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
             of = np.where((n > 0) & (one.argmin(axis=1) == lab[t.sent_doc]), lab[t.sent_doc], -1)
     if calibrate:
         prof.curves = _calibrated(texts, lab, size)
@@ -269,8 +270,9 @@ def _calibrated(texts: list[str], lab: np.ndarray, size: int) -> list[tuple[np.n
         return [(np.zeros(0), np.zeros(0))] * len(SIZES)
     p = fit([x for x, h in zip(texts, held, strict=True) if not h], list(lab[~held]), rounds=1, size=size, calibrate=False)
     t, want = read([x for x, h in zip(texts, held, strict=True) if h]), lab[held]
-    one, n, letters = distances(p, t, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
-    all_, m, all_letters = distances(p, t, t.sent_doc, len(want), size)
+    o = occurrences(t)
+    one, n, letters = distances(p, o, np.arange(len(t.sent_doc)), len(t.sent_doc), size)
+    all_, m, all_letters = distances(p, o, t.sent_doc, len(want), size)
     # of a mixed text a sentence may rightly be in another language than the text: such texts don't calibrate
     agree = np.bincount(t.sent_doc, weights=(one.argmin(axis=1) == want[t.sent_doc]) | (n == 0), minlength=len(want)) >= 0.8 * np.bincount(t.sent_doc, minlength=len(want))
     s = (n > 0) & agree[t.sent_doc]
@@ -301,48 +303,72 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([(b[1] + 1) / (b[2] + 2) for b in blocks])
 
 
-def distances(p: Profiles, t: Text, unit: np.ndarray, n: int, size: int = PROFILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each of n units: out-of-place distance to each profile, n-grams, letters (Han, kana, hangul count double).
+@dataclass
+class Occurrences:
+    """The n-grams of many texts in the script of their sentence, with their sentences; letters of each sentence."""
 
-    unit: the unit of each sentence.
-    """
-    sent_unit = unit[t.sent] if len(t.sent) else np.zeros(0, np.int64)
-    units = len(t.sent_doc)
-    han = np.bincount(t.sent[t.kind == 2], minlength=units) * 2.0
-    alpha = np.bincount(t.sent[t.kind == 1], minlength=units)
+    keys: np.ndarray
+    sent: np.ndarray
+    letters: np.ndarray  # Han, kana and hangul count double
+
+
+def occurrences(t: Text) -> Occurrences:
+    n = len(t.sent_doc)
+    han = np.bincount(t.sent[t.kind == 2], minlength=n) * 2.0
+    alpha = np.bincount(t.sent[t.kind == 1], minlength=n)
     main = np.where(han >= alpha, 2, 1)  # a foreign name in another script says nothing about the sentence
     own = t.kind == main[t.sent]
-    keys, owner = [], []
+    keys, sent = [], []
     for k, i in grams(t):
-        i, k = i[own[i]], k[own[i]]
-        keys.append(k)
-        owner.append(sent_unit[i])
-    keys, owner = np.concatenate(keys), np.concatenate(owner).astype(np.int64)
-    letters = np.bincount(unit, weights=han + alpha, minlength=n)
-    dist, total = np.zeros((n, len(LANGS))), np.bincount(owner, minlength=n).astype(float)
+        fit = own[i]
+        keys.append(k[fit])
+        sent.append(t.sent[i[fit]])
+    return Occurrences(np.concatenate(keys), np.concatenate(sent), han + alpha)
+
+
+def distances(p: Profiles, o: Occurrences, unit: np.ndarray, n: int, size: int = PROFILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of n units: out-of-place distance to each profile, n-grams, letters.
+
+    unit: the unit of each sentence, -1: of none.
+    """
+    dist, letters = np.zeros((n, len(LANGS))), np.bincount(unit[unit >= 0], weights=o.letters[unit >= 0], minlength=n)
+    owner, keys = unit[o.sent].astype(np.int64), o.keys
+    if len(unit) and unit.min() < 0:
+        owner, keys = owner[owner >= 0], keys[owner >= 0]
+    total = np.bincount(owner, minlength=n).astype(float)
     if not len(keys):
         return dist, total, letters
-    # each different n-gram of a unit with its count
+    # each different n-gram of a unit with its count: sorted by unit, then by a hash of the rest of the 64 bits
+    bits = np.uint64(max(1, int(n).bit_length()))
     with np.errstate(over="ignore"):
-        both = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        both = ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> bits
+    both |= owner.astype(np.uint64) << (np.uint64(64) - bits)
     order = np.argsort(both)
-    first = np.nonzero(np.append(True, np.diff(both[order]) != 0))[0]
+    both = both[order]
+    first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0]
     count = np.diff(np.append(first, len(order)))
     one = order[first]
     u = owner[one]
+    # equal counts share a rank: the number of more frequent ones
     rank, higher = np.zeros(len(one), np.int64), np.zeros(n, np.int64)
-    for c in np.unique(count)[::-1]:  # equal counts share a rank: the number of more frequent ones
-        here = np.nonzero(count == c)[0]
+    often = np.nonzero(count > 1)[0]
+    often = often[np.argsort(-count[often], kind="stable")]
+    for here in np.split(often, np.nonzero(np.diff(count[often]))[0] + 1) if len(often) else ():
         rank[here] = higher[u[here]]
-        higher += np.bincount(u[here], minlength=n)
+        np.add.at(higher, u[here], 1)
+    once = count == 1
+    rank[once] = higher[u[once]]
     top = rank < size
-    one, u, rank = one[top], u[top], rank[top]
+    if not top.all():
+        one, u, rank = one[top], u[top], rank[top]
     place = p.look(keys[one])
     listed = place < len(p.keys)
     dist += (np.bincount(u[~listed], minlength=n) * float(size))[:, None]
-    u, rank, r = u[listed], rank[listed], p.ranks[place[listed]].astype(np.int64)
-    for j in range(len(LANGS)):
-        dist[:, j] += np.bincount(u, weights=np.where(r[:, j] < size, np.abs(r[:, j] - rank), size), minlength=n)
+    u, rank, r = u[listed], rank[listed].astype(np.int32), p.ranks[place[listed]].astype(np.int32)
+    away = np.where(r < size, np.abs(r - rank[:, None]), size)
+    if len(u):
+        begin = np.nonzero(np.append(True, u[1:] != u[:-1]))[0]
+        dist[u[begin]] += np.add.reduceat(away, begin, axis=0)
     return dist, total, letters
 
 
@@ -399,32 +425,32 @@ def joined(lang: np.ndarray, dist: np.ndarray) -> np.ndarray:
 def detect(p: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, int, float, float]]]:
     """Of each text its stretches: language, start, end, letters, confidence."""
     t = read(texts)
-    n = len(t.sent_doc)
-    dist, total, letters = distances(p, t, np.arange(n), n)
-    whole, grams_of, _ = distances(p, t, t.sent_doc, len(texts))
+    n, o = len(t.sent_doc), occurrences(t)
+    dist, total, letters = distances(p, o, np.arange(n), n)
+    whole, grams_of, _ = distances(p, o, t.sent_doc, len(texts))
     at = np.searchsorted(t.sent_doc, np.arange(len(texts) + 1))
-    best, nearest = dist.argmin(axis=1), whole.argmin(axis=1)
-    parts, unit = [], np.zeros(n, np.int64)
+    best, nearest, lead = dist.argmin(axis=1), whole.argmin(axis=1), leads(whole)
+    out: list[list[tuple[int, int, int, float, float]]] = [[] for _ in texts]
+    parts, unit = [], np.full(n, -1)  # stretches of mixed texts
     for d in np.nonzero(grams_of > 0)[0]:
         a, b = at[d], at[d + 1]
         g = total[a:b] > 0
-        if (best[a:b][g] == best[a:b][g][0]).all():
-            lang = np.full(b - a, nearest[d])
-        else:
+        lang = None
+        if (best[a:b][g] != best[a:b][g][0]).any():
             lang = joined(stretches(dist[a:b], total[a:b], letters[a:b]), dist[a:b])
-            if (lang == lang[0]).all():
-                lang = np.full(b - a, nearest[d])
+        if lang is None or (lang == lang[0]).all():
+            amount = float(letters[a:b].sum())
+            out[d].append((int(nearest[d]), int(t.sent_start[a]), int(t.sent_end[b - 1]), amount, p.confidence(lead[d], amount)))
+            continue
         cut = np.append(0, np.nonzero(np.diff(lang))[0] + 1)
         for x, y in zip(a + cut, a + np.append(cut[1:], b - a), strict=True):
-            unit[x:y] = len(parts) + 1
+            unit[x:y] = len(parts)
             parts.append((int(d), int(lang[x - a]), int(x), int(y)))
-    # the stretches are texts of their own: ranked again for their confidence
-    mixed, _, _ = distances(p, t, unit, len(parts) + 1)
-    lead = leads(mixed)
-    out: list[list[tuple[int, int, int, float, float]]] = [[] for _ in texts]
-    for k, (d, lang, x, y) in enumerate(parts, 1):
-        amount = float(letters[x:y].sum())
-        out[d].append((lang, int(t.sent_start[x]), int(t.sent_end[y - 1]), amount, p.confidence(lead[k], amount)))
+    if parts:  # the stretches are texts of their own: ranked again for their confidence
+        lead = leads(distances(p, o, unit, len(parts))[0])
+        for k, (d, lang, x, y) in enumerate(parts):
+            amount = float(letters[x:y].sum())
+            out[d].append((lang, int(t.sent_start[x]), int(t.sent_end[y - 1]), amount, p.confidence(lead[k], amount)))
     return out
 
 
