@@ -189,10 +189,10 @@ def test_near_pairs_and_clusters_of_all_rows(spark, tmp_path):
 
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
     near = [(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.1]
-    got = {r["vec_id"]: r["cluster"] for r in entry.queries()["q1_clusters_all"](spark, str(tmp_path)).collect()}
+    got = {r["vec_id"]: r["cluster"] for r in entry.queries()["q1_clusters"](spark, str(tmp_path)).collect()}
     want = graphs.components(spark.createDataFrame(near, "a int, b int"), "a", "b", lambda d: materialise(d, "t")).collect()
     assert got == {r["vertex"]: r["component"] for r in want} and len(got) > 100
-    got = entry.queries()["j23_near_pairs_all"](spark, str(tmp_path)).select("a", "b").collect()
+    got = entry.queries()["j23_near_pairs"](spark, str(tmp_path)).select("a", "b").collect()
     assert sorted(map(tuple, got)) == [(a, b) for a in range(150) for b in range(a + 1, 150) if cos(vecs[a], vecs[b]) >= 0.05]
 
 
@@ -204,7 +204,7 @@ def test_frames_to_the_end_of_the_call(spark, tmp_path):
 
     rows = [("a", 0, 0.0, 2.0), ("a", 1, 70.2, 72.0), ("a", 1, 70.2, 72.0), ("b", 0, 3.0, 4.0), ("c", 0, 0.0, None), ("d", 0, None, 9.0)]
     spark.createDataFrame(rows, CALLS).write.parquet(f"{tmp_path}/transcript_segments.parquet")
-    got = entry.queries()["j16_point_in_interval_all"](spark, str(tmp_path)).collect()
+    got = entry.queries()["j16_point_in_interval"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("a", 0.5, 0), ("a", 1.5, 0), ("a", 70.5, 1), ("a", 71.5, 1), ("b", 3.5, 0)]
 
 
@@ -215,13 +215,13 @@ def test_segments_and_cases_against_all_others(spark, tmp_path):
     rows = [(k, i, float(rng.randrange(12)), 0.0) for k in "ab" for i in range(20)]
     rows = [(k, i, s, s + rng.randrange(1, 5)) for k, i, s, _ in rows] + [("c", 0, 1.0, 2.0), ("d", 0, 0.0, 4.0), ("d", 2, 1.0, 3.0)]
     spark.createDataFrame(rows, CALLS).write.parquet(f"{tmp_path}/transcript_segments.parquet")
-    got = {(r["call_id"], r["seg_idx"], r["c"], r["rank"]) for r in entry.queries()["j15_nearest_all"](spark, str(tmp_path)).collect()}
+    got = {(r["call_id"], r["seg_idx"], r["c"], r["rank"]) for r in entry.queries()["j15_nearest"](spark, str(tmp_path)).collect()}
     want = set()
     for k, i, t, _ in rows:
         other = sorted({s for kk, j, s, _ in rows if kk == k and j != i}, key=lambda c: (abs(c - t), c))
         want |= {(k, i, c, n) for n, c in enumerate(other[:5], 1)}
     assert got == want
-    got = {tuple(r[c] for c in ("call_id", "seg_idx", "shared", "n")) for r in entry.queries()["j17_overlap_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r[c] for c in ("call_id", "seg_idx", "shared", "n")) for r in entry.queries()["j17_overlap"](spark, str(tmp_path)).collect()}
     want = set()
     for k, i, s, e in rows:
         both = [min(e, v) - max(s, u) for kk, j, u, v in rows if kk == k and j != i and min(e, v) > max(s, u)]
@@ -231,7 +231,7 @@ def test_segments_and_cases_against_all_others(spark, tmp_path):
     cases = [("W10", "abcd"), ("W20", "abcd"), ("W21", "abxx"), ("W30", "zzzz"), ("W11", "cdyy")]
     df = spark.createDataFrame([(c, (t,)) for c, t in cases], "case_id string, elements struct<event:string>")
     df.write.parquet(f"{tmp_path}/workorders.parquet")
-    got = {(r["case_id"], r["match"], r["shared"]) for r in entry.queries()["r7_history_all"](spark, str(tmp_path)).collect()}
+    got = {(r["case_id"], r["match"], r["shared"]) for r in entry.queries()["r7_history"](spark, str(tmp_path)).collect()}
     assert got == {("W10", "W20", 3), ("W10", "W21", 1), ("W10", "W11", 1), ("W20", "W10", 3), ("W20", "W21", 1), ("W20", "W11", 1)}
 
 
@@ -245,11 +245,11 @@ def test_all_rows_scored_and_multiplied(spark, tmp_path):
     def dot(a, b):
         return sum(x * y for x, y in zip(a, b, strict=True))
 
-    got = {r["vec_id"]: r["best"] for r in entry.queries()["v9_semantic_all"](spark, str(tmp_path)).collect()}
+    got = {r["vec_id"]: r["best"] for r in entry.queries()["v9_semantic"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(60))
     for i, v in enumerate(vecs):
         gold = [vecs[j] for j in range(i % 3, 15, 3) if j != i]
         assert abs(got[i] - max(dot(v, g) / (dot(v, v) * dot(g, g)) ** 0.5 for g in gold)) < 1e-5
-    got = {(r["a"], r["b"]): r["dot"] for r in entry.queries()["m3_dot_all"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]): r["dot"] for r in entry.queries()["m3_dot"](spark, str(tmp_path)).collect()}
     assert set(got) == {(i, i + 1) for i in range(59)}
     assert all(abs(x - dot(vecs[a], vecs[b])) < 1e-4 for (a, b), x in got.items())

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +46,39 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def best_mapping(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns paired one to one with the largest total gain (shortest augmenting paths, cubic)."""
+    rows, cols = gain.shape
+    if rows > cols:
+        return sorted((i, j) for j, i in best_mapping(gain.T))
+    cost = gain.max(initial=0) - gain.astype(float)
+    u, v, owner = np.zeros(rows + 1), np.zeros(cols + 1), np.zeros(cols + 1, int)  # potentials; row of a column, 0: free
+    for i in range(1, rows + 1):
+        owner[0], at = i, 0
+        short, way, done = np.full(cols + 1, np.inf), np.zeros(cols + 1, int), np.zeros(cols + 1, bool)
+        while owner[at]:
+            done[at] = True
+            r = owner[at]
+            step = cost[r - 1] - u[r] - v[1:]
+            better = ~done[1:] & (step < short[1:])
+            short[1:][better], way[1:][better] = step[better], at
+            nxt = int(np.argmin(np.where(done, np.inf, short)))
+            d = short[nxt]
+            u[owner[done]] += d
+            v[done] -= d
+            short[~done] -= d
+            at = nxt
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, cols + 1) if owner[j])
+
+
 def diarization_error(df: DataFrame, call: str, frame: float = 0.05) -> DataFrame:
-    """call, der, miss, false_alarm, confusion: error by frames under the best mapping of labels.
+    """call, der, miss, false_alarm, confusion: error by frames under the best one-to-one mapping of labels.
 
     df: call, side (ref or hyp), speaker, start, end.  Calls without both sides give no row.  The frames of a
-    call are swept once to a table of label pairs; mappings are then tried on that table, whose size is
-    the number of labels, not of frames.
+    call are counted to a table of label pairs, and the mapping is the optimal assignment on that table, so that
+    any number of labels is fine.  Of overlapping segments of a side the first wins.
     """
     schema = f"`{call}` {df.schema[call].dataType.simpleString()}, der double, miss double, false_alarm double, confusion double"
 
@@ -62,29 +89,19 @@ def diarization_error(df: DataFrame, call: str, frame: float = 0.05) -> DataFram
         if not {"ref", "hyp"} <= set(sides):
             return empty
         n = max(1, math.ceil(pdf["end"].max() / frame - 1e-9))
-        lanes = {}
+        lanes, sizes = {}, {}
         for s, g in sides.items():
-            lane: list = [None] * n
-            for who, a, b in zip(g["speaker"][::-1], g["start"][::-1], g["end"][::-1], strict=True):  # the first segment wins
-                lo, hi = max(0, math.ceil(a / frame - 0.5 - 1e-9)), min(n, math.ceil(b / frame - 0.5 - 1e-9))
-                lane[lo:hi] = [str(who)] * max(0, hi - lo)
-            lanes[s] = lane
-        table: dict[tuple, int] = {}
-        for pair in zip(lanes["ref"], lanes["hyp"], strict=True):
-            table[pair] = table.get(pair, 0) + 1
-        refs, hyps = (sorted({str(x) for x in sides[s]["speaker"]}) for s in ("ref", "hyp"))
-        if len(hyps) <= len(refs):
-            maps = [dict(zip(hyps, p, strict=True)) for p in itertools.permutations(refs, len(hyps))]
-        else:
-            maps = [dict(zip(p, refs, strict=True)) for p in itertools.permutations(hyps, len(refs))]
-        speech = max(1, sum(c for (r, _), c in table.items() if r))
-        best = None
-        for m in maps:
-            miss = sum(c for (r, h), c in table.items() if r and h is None)
-            wrong = sum(c for (r, h), c in table.items() if r and h is not None and m.get(h, h) != r)
-            alarm = sum(c for (r, h), c in table.items() if not r and h is not None)
-            row = ((miss + wrong + alarm) / speech, miss / speech, alarm / speech, wrong / speech)
-            best = row if best is None or row[0] < best[0] else best
-        return pd.DataFrame([(pdf[call].iloc[0], *best)], columns=empty.columns)
+            who, names = pd.factorize(g["speaker"].astype(str), sort=True)
+            lane = np.zeros(n, np.int64)  # 0: nobody
+            lo = np.maximum(0, np.ceil(g["start"].to_numpy() / frame - 0.5 - 1e-9).astype(int))
+            hi = np.minimum(n, np.ceil(g["end"].to_numpy() / frame - 0.5 - 1e-9).astype(int))
+            for w, a, b in zip(who[::-1], lo[::-1], hi[::-1], strict=True):
+                lane[a : max(a, b)] = w + 1
+            lanes[s], sizes[s] = lane, len(names)
+        pairs = np.bincount(lanes["ref"] * (sizes["hyp"] + 1) + lanes["hyp"], minlength=(sizes["ref"] + 1) * (sizes["hyp"] + 1)).reshape(sizes["ref"] + 1, sizes["hyp"] + 1)
+        right = sum(int(pairs[i + 1, j + 1]) for i, j in best_mapping(pairs[1:, 1:]))
+        speech = max(1, int(pairs[1:].sum()))
+        miss, alarm, wrong = int(pairs[1:, 0].sum()), int(pairs[0, 1:].sum()), int(pairs[1:, 1:].sum()) - right
+        return pd.DataFrame([(pdf[call].iloc[0], (miss + wrong + alarm) / speech, miss / speech, alarm / speech, wrong / speech)], columns=empty.columns)
 
     return df.select(call, "side", "speaker", "start", "end").groupBy(call).applyInPandas(run, schema)

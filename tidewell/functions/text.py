@@ -16,12 +16,11 @@ PHONE = r"(?<!\d)(?:1[3-9]\d{9}|0\d{2,3}[- ]?\d{7,8})(?!\d)"
 IDENTITY = r"(?<!\d)\d{17}[\dXx](?!\d)"
 TOKEN = "[一-鿿]|[a-z0-9]+"
 SENTENCE_ENDS = "[。；;！？!?\n]"
-_PART = "(?:凌晨|上午|中午|下午|晚上)?"
 TIMES = (
-    rf"\d{{4}}年\d{{1,2}}月(?:\d{{1,2}}日)?{_PART}(?:\d{{1,2}}(?:[:：]\d{{1,2}}|[点时](?:\d{{1,2}}分?)?))?",
-    rf"\d{{1,2}}月\d{{1,2}}日{_PART}(?:\d{{1,2}}(?:[:：]\d{{1,2}}|[点时](?:\d{{1,2}}分?)?))?",
-    rf"(?:今天|昨日|昨天|前天|今晚|昨晚|今早|近期|最近){_PART}(?:\d{{1,2}}[点时](?:\d{{1,2}}分?)?)?",
-    "(?:凌晨|上午|中午|下午|晚上|夜间|晚间)",
+    r"\d{4}年\d{1,2}月(?:\d{1,2}日)?(?:凌晨|上午|中午|下午|晚上)?(?:\d{1,2}(?:[:：]\d{1,2}|[点时](?:\d{1,2}分?)?))?",
+    r"\d{1,2}月\d{1,2}日(?:凌晨|上午|中午|下午|晚上)?(?:\d{1,2}(?:[:：]\d{1,2}|[点时](?:\d{1,2}分?)?))?",
+    r"(?:今天|昨日|昨天|前天|今晚|昨晚|今早|近期|最近)(?:凌晨|上午|中午|下午|晚上)?(?:\d{1,2}[点时](?:\d{1,2}分?)?)?",
+    r"(?:凌晨|上午|中午|下午|晚上|夜间|晚间)",
 )
 CLAUSE = "第[一二三四五六七八九十百0-9]+条"
 
@@ -35,8 +34,8 @@ def strip(c: Column) -> Column:
 
 
 def tidy_space(c: Column) -> Column:
-    """Runs of blanks to one, three or more line ends to two, ends stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t\u000b\f]+", " "), r"\n{3,}", "\n\n"))
+    """Runs of blanks (no-break and ideographic ones too) to one, three or more line ends to two, ends stripped."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t\u00a0\u3000\u000b\f]+", " "), r"\n{3,}", "\n\n"))
 
 
 def is_noise(line: Column) -> Column:

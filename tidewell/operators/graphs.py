@@ -31,5 +31,7 @@ def components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame], Dat
         e = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds: raise most_rounds")
     roots = e.select(F.col("v").alias("vertex")).distinct().join(e.select(F.col("u").alias("vertex")), "vertex", "left_anti")
     return e.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("component")).unionByName(roots.withColumn("component", F.col("vertex")))

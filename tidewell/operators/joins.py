@@ -64,18 +64,25 @@ def nearest(points: DataFrame, windows: DataFrame, key: list[str], at: str, cent
     return near.withColumn("rank", r).filter(F.col("rank") <= k).select(*key, F.col("_tw_p").alias(point_id), centre, "rank")
 
 
-def contains_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, gram: int = 2) -> DataFrame:
+PHRASE_KEYS = 20_000  # up to so many different beginnings of phrases the texts are cut to them before anything moves
+
+
+def contains_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, gram: int = 4) -> DataFrame:
     """texts x phrases where the text contains the phrase, through an index on the phrase's first ``gram`` characters.
 
-    Every place of a text gives a key, so the join is an equality join; phrases shorter than gram are padded
-    out by an index of their own length.
+    Every place of a text gives a key, so the join is an equality join; shorter phrases have keys of their own length.
+    Keys that no phrase begins with are dropped before a text is copied for its keys.
     """
     sized = phrases.filter(F.length(phrase) > 0).withColumn("_tw_len", F.least(F.length(phrase), F.lit(gram))).withColumn("_tw_key", F.substr(F.col(phrase), F.lit(1), F.col("_tw_len")))
+    known = [r["_tw_key"] for r in sized.select("_tw_key").distinct().limit(PHRASE_KEYS + 1).collect()]
+    few = len(known) <= PHRASE_KEYS
+    lengths = sorted({len(k) for k in known}) if few else range(1, gram + 1)
 
     def grams(n: int) -> Column:
         return F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)  # one pass, unlike a substring a place
 
-    keys = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, gram + 1)])))
+    keys = F.flatten(F.array(*[grams(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    keys = F.array_distinct(F.filter(keys, lambda k: k.isin(known)) if few else keys)
     exploded = texts.filter(F.length(text) > 0).withColumn("_tw_key", F.explode(keys))
     hit = exploded.join(sized, "_tw_key").filter(F.contains(F.col(text), F.col(phrase)))
     return hit.drop("_tw_key", "_tw_len")

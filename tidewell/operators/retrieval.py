@@ -24,23 +24,35 @@ from tidewell.functions.text import tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK = 4096
+QUERY_TERMS = 20_000  # up to so many different query terms the scan filters by them
 PAIR_BLOCK = 4096
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl: one row a document and term."""
+def postings(docs: DataFrame, key: str, text: str, words: list[str] | None = None) -> DataFrame:
+    """key, term, tf, dl: one row a document and term; words: the only terms wanted, cut before anything is exploded."""
     toks = docs.select(key, tokens(F.col(text)).alias("_tw_t")).filter(F.size("_tw_t") > 0)
-    return toks.select(key, F.size("_tw_t").alias("dl"), F.explode("_tw_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    kept = F.col("_tw_t")
+    if words is not None:  # tokens are Han characters, letters and digits: nothing to quote
+        kept = F.expr(f"filter(_tw_t, x -> x in ({', '.join(repr(w) for w in words)}))") if words else F.array().cast("array<string>")
+    return toks.select(key, F.size("_tw_t").alias("dl"), F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def term_statistics(docs: DataFrame, text: str) -> DataFrame:
+    """term, df, cf; what moves is one partial sum a task and term, never a row a document and term."""
+    t = tokens(F.col(text))
+    one = lambda x, first: F.transform(x, lambda y: F.struct(y.alias("term"), F.lit(first).alias("first")))
+    both = docs.select(t.alias("_tw_t")).select(F.explode(F.concat(one(F.col("_tw_t"), False), one(F.array_distinct("_tw_t"), True))).alias("x"))
+    return both.groupBy("x.term").agg(F.count_if("x.first").alias("df"), F.count_if(~F.col("x.first")).alias("cf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """query_id, key, score of all documents that share a term with the query."""
-    post = postings(docs, key, text)
-    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = queries.select(query_id, F.explode(tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    # df of the query terms only: the index is cut to them before it is counted or joined
+    # the index is cut to the query terms before it is counted or joined: inside the scan if they are few enough, else by a join
     wanted = terms.select("term").distinct()
-    post = post.join(wanted, "term")
+    words = [r["term"] for r in wanted.limit(QUERY_TERMS + 1).collect()]
+    post = postings(docs, key, text, sorted(words)) if len(words) <= QUERY_TERMS else postings(docs, key, text).join(wanted, "term")
+    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(lengths))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

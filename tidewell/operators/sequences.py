@@ -6,6 +6,7 @@ rows of such a group come from one conversation or document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,23 +67,33 @@ def cut_long(text: str, least: int, most: int) -> list[str]:
     return [p[k : k + most] for p in out for k in range(0, len(p), most)]
 
 
-def pack(units: list[str], least: int = 300, most: int = 600) -> list[str]:
-    """Units packed in order: a chunk closes when the next unit would pass ``most`` and it has ``least``;
-    then short neighbours join while they fit, and what is still too long is sliced."""
-    chunks: list[list[str]] = [[]]
-    for unit in units:
-        for piece in cut_long(unit, least, most):
-            held = sum(map(len, chunks[-1]))
+def pack_units(units: list[tuple[str, int | None, bool]], least: int = 300, most: int = 600) -> list[tuple[str, int | None, bool]]:
+    """Units (text, page, whether a table) packed in order: a chunk closes when the next unit would pass ``most`` and it has
+    ``least``; then short neighbours join while they fit, and what is still too long is sliced.  A chunk has the
+    page of its first unit that has one, and a table if one of its units is."""
+    chunks: list[list[tuple[str, int | None, bool]]] = [[]]
+    for text, page, table in units:
+        for piece in cut_long(text, least, most):
+            held = sum(len(x[0]) for x in chunks[-1])
             if held >= least and held + len(piece) > most:
                 chunks.append([])
-            chunks[-1].append(piece)
-    merged: list[str] = []
-    for c in (t for t in ("\n".join(x).strip() for x in chunks) if t):
-        if merged and len(merged[-1]) + 1 + len(c) <= most and min(len(c), len(merged[-1])) < least:
-            merged[-1] = f"{merged[-1]}\n{c}".strip()
+            chunks[-1].append((piece, page, table))
+    merged: list[list] = []
+    for chunk in chunks:
+        text = "\n".join(x[0] for x in chunk).strip()
+        if not text:
+            continue
+        page, table = next((x[1] for x in chunk if x[1] is not None), None), any(x[2] for x in chunk)
+        if merged and len(merged[-1][0]) + 1 + len(text) <= most and min(len(text), len(merged[-1][0])) < least:
+            merged[-1] = [f"{merged[-1][0]}\n{text}".strip(), merged[-1][1], merged[-1][2] or table]
         else:
-            merged.append(c)
-    return [c[k : k + most] for c in merged for k in range(0, len(c), most)]
+            merged.append([text, page, table])
+    return [(text[k : k + most], page, table) for text, page, table in merged for k in range(0, len(text), most)]
+
+
+def pack(units: list[str], least: int = 300, most: int = 600) -> list[str]:
+    """Texts packed in order, see ``pack_units``."""
+    return [text for text, _, _ in pack_units([(u, None, False) for u in units], least, most)]
 
 
 def chunk_blocks(df: DataFrame, key: str, blocks: str, least: int = 300, most: int = 600) -> DataFrame:
@@ -110,11 +121,10 @@ def chunk_blocks(df: DataFrame, key: str, blocks: str, least: int = 300, most: i
                 for path, body in sections:
                     units = []
                     for b in body:
-                        text = b["text"] or ""
-                        units += [text] if b["block_type"] == "table" else [x.strip() for x in text.splitlines() if x.strip()]
-                    page = next((int(b["page"]) for b in body if b["page"] is not None and b["page"] == b["page"]), None)
-                    table = any(b["block_type"] == "table" for b in body)
-                    for content in pack(units, least, most):
+                        text, page = b["text"] or "", int(b["page"]) if b["page"] is not None and b["page"] == b["page"] else None
+                        table = b["block_type"] == "table"
+                        units += [(x, page, table) for x in ([text] if table else [y.strip() for y in text.splitlines() if y.strip()])]
+                    for content, page, table in pack_units(units, least, most):
                         rows.append((k, n, path[-1] if path else "", path, content, len(content), page, table))
                         n += 1
             yield pd.DataFrame(rows, columns=[c.strip().split()[0].strip("`") for c in schema.split(", ")]).astype({"page": "Int32"})
@@ -124,30 +134,47 @@ def chunk_blocks(df: DataFrame, key: str, blocks: str, least: int = 300, most: i
 
 # --- two-state decoding ------------------------------------------------------------------------------
 
+# The penalties of a change of state after pauses below a bound, after others, and after long ones; the shortest island.
+SHORT_PAUSES, USUAL_PENALTY = ((0.08, 5.5), (0.22, 3.2)), 1.65
+LONG_PAUSE, LONG_PENALTY = 0.7, 0.75
+SHORTEST_ISLAND = 0.8
+VOTE_FLOOR = 1e-5
 
-def switch_cost(gap: float) -> float:
-    """How much a change of speaker costs across a pause."""
-    return 5.5 if gap < 0.08 else 3.2 if gap < 0.22 else 0.75 if gap > 0.7 else 1.65
 
+def switch_penalty(pause: float) -> float:
+    return next((p for bound, p in SHORT_PAUSES if pause < bound), LONG_PENALTY if pause > LONG_PAUSE else USUAL_PENALTY)
 
-def decode_two(scores: list[tuple[float, float]], gaps: list[float]) -> list[int]:
-    """The cheapest path through two states; a score is the cost of being in a state."""
-    if not scores:
+
+def likeliest_states(votes: list[tuple[float, float]], pauses: list[float]) -> list[int]:
+    """The most likely path through two states: log shares of the votes, less a penalty for every change."""
+    if not votes:
         return []
-    cost, back = list(scores[0]), []
-    for (a, b), gap in zip(scores[1:], gaps, strict=True):
-        p = switch_cost(gap)
-        come = [0 if cost[0] <= cost[1] + p else 1, 1 if cost[1] <= cost[0] + p else 0]
-        back.append(come)
-        cost = [a + (cost[0] if come[0] == 0 else cost[1] + p), b + (cost[1] if come[1] == 1 else cost[0] + p)]
-    path = [0 if cost[0] <= cost[1] else 1]
-    for come in reversed(back):
-        path.append(come[path[-1]])
+    emit = [[math.log((v + VOTE_FLOOR) / max(a + b, VOTE_FLOOR)) for v in (a, b)] for a, b in votes]
+    best, came = [emit[0]], []
+    for now, pause in zip(emit[1:], pauses, strict=True):
+        stay, switch = best[-1], [x - switch_penalty(pause) for x in reversed(best[-1])]
+        came.append([s if stay[s] >= switch[s] else 1 - s for s in (0, 1)])
+        best.append([max(stay[s], switch[s]) + now[s] for s in (0, 1)])
+    path = [0 if best[-1][0] >= best[-1][1] else 1]
+    for back in reversed(came):
+        path.append(back[path[-1]])
     return path[::-1]
 
 
+def without_islands(states: list[int], starts: list[float], ends: list[float]) -> list[int]:
+    """Runs shorter than ``SHORTEST_ISLAND`` between two runs of the other state take that state, the first one first."""
+    states = list(states)
+    while True:
+        edges = [0, *(i for i in range(1, len(states)) if states[i] != states[i - 1]), len(states)]
+        short = next((k for k in range(1, len(edges) - 2) if ends[edges[k + 1] - 1] - starts[edges[k]] < SHORTEST_ISLAND), None)
+        if short is None:
+            return states
+        a, b = edges[short], edges[short + 1]
+        states[a:b] = [1 - states[a]] * (b - a)
+
+
 def decode_speakers(df: DataFrame, call: str, at: str, end: str, score: str) -> DataFrame:
-    """call, at, state: a smooth sequence of two states from a score in [0, 1] for state 1, per call."""
+    """call, at, state: the smoothed sequence of two states from the share of votes in [0, 1] for state 1, per call."""
     schema = f"`{call}` {df.schema[call].dataType.simpleString()}, `{at}` double, state int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +183,7 @@ def decode_speakers(df: DataFrame, call: str, at: str, end: str, score: str) ->
             return pd.DataFrame(columns=[call, at, "state"])
         s = pdf[score].fillna(0.5).to_list()
         starts, ends = pdf[at].to_list(), pdf[end].fillna(pdf[at]).to_list()
-        states = decode_two([(4 * x, 4 * (1 - x)) for x in s], [max(0.0, b - a) for a, b in zip(ends, starts[1:], strict=False)])
-        return pd.DataFrame({call: pdf[call].to_list(), at: starts, "state": states})
+        states = likeliest_states([(1 - x, x) for x in s], [max(0.0, b - a) for a, b in zip(ends, starts[1:], strict=False)])
+        return pd.DataFrame({call: pdf[call].to_list(), at: starts, "state": without_islands(states, starts, ends)})
 
     return df.select(call, at, end, score).groupBy(call).applyInPandas(run, schema)

@@ -16,14 +16,14 @@ P = "(select distinct on (page_id) page_id, blocks, title from parsed_documents)
 
 
 @fam.query(rf"""
-    with b as (select page_id, i, blocks[i].block_type as kind, regexp_replace(regexp_replace(translate(blocks[i].text, '{S._WIDE.replace("'", "''")}', '{S._HALF.replace("'", "''")}'), '[ \t\x0b\f]+', ' ', 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as t from (select *, unnest(range(1, len(blocks) + 1)) as i from {P})),
+    with b as (select page_id, i, blocks[i].block_type as kind, regexp_replace(regexp_replace(translate(blocks[i].text, '{S._WIDE.replace("'", "''")}', '{S._HALF.replace("'", "''")}'), '[ \t\x0b\f\x{{00A0}}\x{{3000}}]+', ' ', 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as t from (select *, unnest(range(1, len(blocks) + 1)) as i from {P})),
     c as (select * from b where t is not null and length(t) >= 2 and not regexp_matches(t, '^\s*第\s*\d+\s*页\s*共\s*\d+\s*页\s*$|^\s*\d+\s*$|^\s*(版权所有|内部资料|严禁外传)\s*$'))
     select page_id, count(*) as kept, sum(length(t))::bigint as chars from c group by page_id
 """)
 def x9_clean_documents(spark, d):
     """Blocks cleaned, noise dropped."""
     (p,) = tables(spark, d, "parsed_documents")
-    clean = F.transform("blocks", lambda b: S.strip(F.regexp_replace(S.half_width(b["text"]), r"[ \t\u000b\f]+", " ")))
+    clean = F.transform("blocks", lambda b: S.strip(F.regexp_replace(S.half_width(b["text"]), r"[ \t 　\u000b\f]+", " ")))
     kept = F.filter(clean, lambda t: F.coalesce(~S.is_noise(t), F.lit(False)))
     x = once(p, "page_id").select("page_id", kept.alias("k")).filter("size(k) > 0")
     return x.select("page_id", F.size("k").cast("bigint").alias("kept"), F.aggregate("k", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("chars"))

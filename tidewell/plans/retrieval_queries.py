@@ -26,7 +26,7 @@ _BM25 = f"""
 @fam.query("select term, count(*) as df, sum(tf)::bigint as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(" + _TOK.format("text") + ") as term from documents where text is not null) group by 1, 2) group by term")
 def a22_term_statistics(spark, d):
     (x,) = tables(spark, d, "documents")
-    return R.postings(x, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.term_statistics(x, "text")
 
 
 def _lexical(spark, d, k=20):
@@ -131,22 +131,8 @@ def m9_prototypes(spark, d):
     return T.top(best, ["vec_id"], [F.desc(F.round("score", 9)), F.col("label")], 1, "r").select("vec_id", "label", F.round("score", 5).alias("score"))
 
 
-@fam.query("""
-    with recursive q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 100 = 0), e as (select a.vec_id as a, b.vec_id as b from q a join q b on a.vec_id < b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.1),
-    s as (select a, b from e union select b, a from e), r as (select a as vertex, a as seen from s union select r.vertex, s.b from r join s on r.seen = s.a)
-    select vertex as vec_id, min(seen) as cluster from r group by vertex
-""")
-def q1_clusters(spark, d):
-    """Density clusters with a least size of two are the components of the graph of near pairs."""
-    (e,) = tables(spark, d, "embeddings")
-    some = e.filter("vec_id % 100 = 0").select("vec_id", "embedding")
-    q = some.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = R.vector_within(some, "vec_id", "embedding", q, "query_id", "q", 0.1).filter("query_id < vec_id")
-    return G.components(near, "query_id", "vec_id", lambda df: materialise(df, "q1")).select(F.col("vertex").alias("vec_id"), F.col("component").alias("cluster"))
-
-
 @fam.query()
-def q1_clusters_all(spark, d):
+def q1_clusters(spark, d):
     """Density clusters of all vectors; every row meets every other, and tasks return spanning forests of their edges."""
     (e,) = tables(spark, d, "embeddings")
     near = materialise(R.near_pairs(e, "vec_id", "embedding", 0.1, forest=True), "q1_edges")
@@ -170,28 +156,13 @@ def g2_keyword_route(spark, d):
     return hit.groupBy("doc_id").agg(F.min("dept_id").alias("routed"), F.count("*").alias("hits"))
 
 
-@fam.query("""
-    with h as (select distinct case_id, elements.event as t from workorders where case_id like '%0'), c as (select distinct case_id, elements.event as t from workorders where case_id not like '%0'), g as (select case_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::int, 2))) as b from (select * from h where length(t) > 1)),
-    k as (select t, min(case_id) as case_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::int, 2))) as b from (select * from c where length(t) > 1) group by t)
-    select g.case_id, k.case_id as match, len(list_intersect(g.b, k.b)) as shared from g join k on len(list_intersect(g.b, k.b)) > 0 qualify row_number() over (partition by g.case_id order by len(list_intersect(g.b, k.b)) desc, k.case_id) <= 3
-""")
-def r7_history(spark, d):
-    """The three past matters that share most bigrams, one row standing for equal texts."""
-    (w,) = tables(spark, d, "workorders")
-    x = w.select("case_id", F.col("elements.event").alias("t")).distinct().filter("length(t) > 1")
-    new = x.filter("case_id like '%0'").select("case_id", F.explode(F.array_distinct(bigrams(F.col("t")))).alias("g"))
-    past = x.filter("not case_id like '%0'").groupBy("t").agg(F.min("case_id").alias("match")).select("match", F.explode(F.array_distinct(bigrams(F.col("t")))).alias("g"))
-    shared = new.join(past, "g").groupBy("case_id", "match").agg(F.count("*").alias("shared"))
-    return T.top(shared, ["case_id"], [F.desc("shared"), F.col("match")], 3).drop("rank")
-
-
 @fam.query("""
     with x as (select distinct case_id, elements.event as t from workorders where case_id is not null and length(elements.event) > 1), k as (select t, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::int, 2))) as b from (select distinct t from x)),
     p as (select a.t, b.t as other, len(list_intersect(a.b, b.b)) as shared from k a join k b on len(list_intersect(a.b, b.b)) > 0), m as (select h.case_id, p.other, p.shared, min(x.case_id) as match from x h join p using (t) join x on x.t = p.other and x.case_id <> h.case_id where h.case_id like '%0' group by 1, 2, 3),
     g as (select case_id, match, max(shared) as shared from m group by 1, 2)
     select case_id, match, shared from g qualify row_number() over (partition by case_id order by shared desc, match) <= 3
 """)
-def r7_history_all(spark, d):
+def r7_history(spark, d):
     """The three matters among all others that share most bigrams, one row standing for equal texts."""
     (w,) = tables(spark, d, "workorders")
     x = w.select("case_id", F.col("elements.event").alias("t")).distinct().filter("case_id is not null and length(t) > 1")

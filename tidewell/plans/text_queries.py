@@ -27,7 +27,7 @@ def f1_half_width(spark, d):
     return once(c, "id").select("id", S.half_width(F.col("received_at")).alias("half"))
 
 
-@fam.query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x0b\f]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as tidy from documents")
+@fam.query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x0b\f\x{00A0}\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as tidy from documents")
 def f2_tidy(spark, d):
     (x,) = tables(spark, d, "documents")
     return x.select("doc_id", S.tidy_space(F.col("text")).alias("tidy"))
@@ -54,9 +54,10 @@ def f5_tokens(spark, d):
 def f6_keywords(spark, d):
     from tidewell.operators.retrieval import postings
     from tidewell.operators.tables import top
+    from tidewell.session import materialise
 
     (x,) = tables(spark, d, "documents")
-    p = postings(x.filter("text is not null"), "doc_id", "text")
+    p = materialise(postings(x.filter("text is not null"), "doc_id", "text"), "f6")  # tokenised once, used three times
     n = p.select("doc_id").distinct().agg(F.count("*").alias("n"))
     f = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
     s = p.join(f, "term").select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6).alias("w"))
@@ -219,20 +220,6 @@ def e4_merge(spark, d):
     return _orders(spark, d).select("case_id", F.when(F.length(F.coalesce(e, F.lit(""))) > F.length(F.coalesce("title", F.lit(""))), e).otherwise(F.col("title")).alias("longer"), F.coalesce(F.nullif("elements.time_text", F.lit("")), F.lit("unknown")).alias("time_text"))
 
 
-@fam.query(rf"""
-    with x as (select case_id, coalesce(summary, '') || '[来源1]，第3条' as draft, coalesce(t, '') as support from {W}),
-    y as (select case_id, length(draft) > 0 as non_empty, len(list_filter(regexp_extract_all(draft, '\[来源\s*(\d+)\]', 1), lambda m: not (m::int between 1 and 2))) = 0 as markers,
-      list_sort(list_filter(list_distinct(regexp_extract_all(draft, '(\d+(?:\.\d+)?%?)', 1)), lambda n: n not in ('12345', '110', '119', '120') and not contains(support, n))) as missing, not regexp_matches(draft, '{X.OVERPROMISE}') as modest from x)
-    select case_id, markers, missing, modest, round((non_empty::int + markers::int + (len(missing) = 0)::int + modest::int) / 4.0, 4) as score from y
-""")
-def e5_reply_gate(spark, d):
-    """Checks of a drafted reply: not empty, markers in range, numbers supported, nothing promised."""
-    x = _orders(spark, d).select("case_id", F.concat(F.coalesce("summary", F.lit("")), F.lit("[来源1]，第3条")).alias("draft"), F.coalesce("t", F.lit("")).alias("support"))
-    draft = F.col("draft")
-    y = x.select("case_id", (F.length(draft) > 0).alias("non_empty"), X.markers_in_range(draft, F.lit(2)).alias("markers"), X.unsupported_numbers(draft, F.col("support")).alias("missing"), (F.size(X.overpromises(draft)) == 0).alias("modest"))
-    return y.select("case_id", "markers", "missing", "modest", X.check_score(F.col("non_empty"), F.col("markers"), F.size("missing") == 0, F.col("modest")).alias("score"))
-
-
 @fam.query("select id, coalesce(text, '') || chr(10) || array_to_string(coalesce(expected.request, []), '；') as answer from " + C)
 def e12_structure(spark, d):
     (c,) = tables(spark, d, "intake_cases")

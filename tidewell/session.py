@@ -40,12 +40,15 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where that is unset (as in tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own on a single machine (as in tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        found = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="tidewell-")
-        _own_dirs[app] = found
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="tidewell-")
+        found = _own_dirs[app]
     return found
 
 
