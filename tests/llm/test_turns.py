@@ -14,7 +14,7 @@ def rows_of(spark, rows):
 
 
 def heads(df):
-    return [(r["conv_id"], r["turn_no"], r["role"], r["first_idx"]) for r in T.turn_heads(df).orderBy("conv_id", "turn_no").collect()]
+    return [(r["conv_id"], r["turn_no"], r["role"], r["first_idx"]) for r in T.turns(df).orderBy("conv_id", "turn_no").collect()]
 
 
 def speech(df):
@@ -68,11 +68,13 @@ def test_overlaps_of_any_length(spark):
     ]
     got = {r["conv_id"]: r["text"] for r in T.turns(speech(rows_of(spark, rows))).collect()}
     assert got == {"a": "开头" + long + " 后面还有", "b": long}
-    rng = random.Random(1)
+    rng, pairs = random.Random(1), []
     for _ in range(3000):
         p, c = ("".join(rng.choices("ab", [9, 1], k=rng.randrange(120))) for _ in range(2))
-        c = p[rng.randrange(len(p) + 1) :] + c if rng.random() < 0.5 else c
-        assert T.overlap(p, c) == max((k for k in range(6, len(c) + 1) if p.endswith(c[:k])), default=0)
+        pairs.append((p, p[rng.randrange(len(p) + 1) :] + c if rng.random() < 0.5 else c))
+    df = spark.createDataFrame(pairs, "p string, c string")
+    for r in df.select("p", "c", T.overlap(F.col("p"), F.col("c")).alias("k")).collect():
+        assert r["k"] == max((k for k in range(6, len(r["c"]) + 1) if r["p"].endswith(r["c"][:k])), default=0)
 
 
 def test_empty_and_long(spark):

@@ -27,9 +27,9 @@ def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = T.turn_heads(_calls(spark, sf_dir)).select(F.lit("transcript_segments").alias("src"), "conv_id", "turn_no", "role", "first_idx")
-    talks = T.turn_heads(_dialogues(spark, sf_dir)).select(F.lit("dialogue_turns").alias("src"), "conv_id", "turn_no", "role", "first_idx")
-    return calls.unionByName(talks)
+    """The heads of the turns; TESTDATA.md counts runs of one role, so pauses don't part them here."""
+    heads = lambda rows, src: T.turns(rows).select(F.lit(src).alias("src"), "conv_id", "turn_no", "role", "first_idx")
+    return heads(_calls(spark, sf_dir), "transcript_segments").unionByName(heads(_dialogues(spark, sf_dir), "dialogue_turns"))
 
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ first).  Extra columns are ignored.  Texts of any length are processed whole.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +36,9 @@ _WORDS = "|".join(w for ws in ROLE_WORDS.values() for w in ws)
 _LABEL = rf"(?i)^\s*(?:{_OPEN}\s*({_WORDS})\d*号?\s*{_CLOSE}\s*[:：]?|({_WORDS})\d*号?\s*[:：])\s*"
 _NOTE = rf"(?i)\[[^\[\]]*\]|［[^［］]*］|【[^【】]*】|<[^<>]*>|\{{[^{{}}]*\}}|\*[^*]*\*|♪+|[(（]\s*(?:{NOTES})\s*[)）]"
 _FILL = rf"(?:(?<=^)|(?<=[，。！？、,!?…\s]))(?:{FILLERS})(?=[，。！？、,!?…\s]|$)[，、,…]?"
+# what a text must hold or begin with for these patterns to find anything
+_STARTS_MARK, _STARTS_LABEL = r"^[\[［【(（\d]", r"^\s*[\[［【(（]|^[^:：]{1,16}[:：]"
+_HAS_NOTE, _HAS_FILLER = r"[\[［【<{*♪(（]", "[嗯啊呃唔诶哦额唉]|这个这个|那个|就是说|怎么说呢"
 
 
 def role_of(c: Column) -> Column:
@@ -45,59 +47,55 @@ def role_of(c: Column) -> Column:
     return F.when(w.rlike("^(?:" + "|".join(ROLE_WORDS[OPERATOR]) + r")\d*号?$"), OPERATOR).when(w.rlike("^(?:" + "|".join(ROLE_WORDS[CITIZEN]) + r")\d*号?$"), CITIZEN)
 
 
-def split_marks(text: Column) -> tuple[Column, Column, Column]:
-    """Seconds of a leading time mark, role of a leading label, and the rest of the text."""
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
-    mark = F.regexp_extract(body, rf"^{_MARK}", 0)
-    t = F.regexp_extract_all(mark, F.lit(r"(\d+)"), 1)
-    seconds = F.when(F.size(t) == 3, t[0].try_cast("int") * 3600 + t[1].try_cast("int") * 60 + t[2].try_cast("int")).when(F.size(t) == 2, t[0].try_cast("int") * 60 + t[1].try_cast("int")).cast("double")
-    body = F.regexp_replace(body, rf"^(?:{_MARK}\s*)+", "")
-    label = F.coalesce(F.nullif(F.regexp_extract(body, _LABEL, 1), F.lit("")), F.nullif(F.regexp_extract(body, _LABEL, 2), F.lit("")))
-    body = F.regexp_replace(body, _LABEL, "")
-    return seconds, role_of(label), F.regexp_replace(body, rf"^(?:{_MARK}\s*)+", "")
+def _stage(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns computed once: a generator keeps their expressions from being copied into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def clean_wording(body: Column) -> Column:
-    """The text without sound notes and fillers."""
-    x = F.regexp_replace(body, _NOTE, " ")
-    for _ in range(3):  # fillers come in chains
-        x = F.regexp_replace(x, _FILL, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[，。、,…\s]+", ""))
-
-
-def has_speech(clean: Column) -> Column:
-    return F.coalesce(F.regexp_replace(clean, r"[^\p{L}\p{N}]+", "") != "", F.lit(False))
+def split_marks(df: DataFrame, text: str) -> DataFrame:
+    """Adds _tw_seconds of a leading time mark, _tw_label (role of a leading label) and _tw_body, the rest of the text.
 
+    Patterns are tried only on texts that begin like one, which most don't.
+    """
+    b, m, c = F.col("_tw_b"), F.col("_tw_mark"), F.col("_tw_c")
+    df = _stage(df, F.btrim(F.col(text), F.lit(" \t\n\r\f\u000b")).alias("_tw_b"))
+    df = _stage(df, F.when(b.rlike(_STARTS_MARK), F.regexp_extract(b, rf"^{_MARK}", 0)).otherwise("").alias("_tw_mark"))
+    t = F.regexp_extract_all(m, F.lit(r"(\d+)"), 1)
+    part = lambda i: F.get(t, F.lit(i)).try_cast("int")
+    seconds = F.when(m != "", F.when(F.size(t) == 3, part(0) * 3600 + part(1) * 60 + part(2)).when(F.size(t) == 2, part(0) * 60 + part(1))).cast("double")
+    df = _stage(df, seconds.alias("_tw_seconds"), F.when(m != "", F.regexp_replace(b, rf"^(?:{_MARK}\s*)+", "")).otherwise(b).alias("_tw_c"))
+    df = _stage(df, F.when(c.rlike(_STARTS_LABEL), F.coalesce(F.nullif(F.regexp_extract(c, _LABEL, 1), F.lit("")), F.nullif(F.regexp_extract(c, _LABEL, 2), F.lit("")))).alias("_tw_l"))
+    rest = F.when(F.col("_tw_l").isNotNull(), F.regexp_replace(c, _LABEL, "")).otherwise(c)
+    df = _stage(df, role_of(F.col("_tw_l")).alias("_tw_label"), rest.alias("_tw_r"))
+    r = F.col("_tw_r")
+    df = df.withColumn("_tw_body", F.when(r.rlike(_STARTS_MARK), F.regexp_replace(r, rf"^(?:{_MARK}\s*)+", "")).otherwise(r))
+    return df.drop("_tw_b", "_tw_mark", "_tw_c", "_tw_l", "_tw_r")
+
+
+def clean_wording(df: DataFrame, body: str) -> DataFrame:
+    """Adds _tw_clean: the text without sound notes and fillers."""
+    x, y = F.col(body), F.col("_tw_x")
+    df = _stage(df, F.when(x.rlike(_HAS_NOTE), F.regexp_replace(x, _NOTE, " ")).otherwise(x).alias("_tw_x"))
+    for _ in range(2):  # chains go at once; a filler may come to stand at the beginning
+        df = _stage(df.withColumnRenamed("_tw_x", "_tw_y"), F.when(F.col("_tw_y").rlike(_HAS_FILLER), F.regexp_replace("_tw_y", _FILL, "")).otherwise(F.col("_tw_y")).alias("_tw_x")).drop("_tw_y")
+    spaced = F.when(y.rlike(r"\s\s|[^ \S]"), F.regexp_replace(y, r"\s+", " ")).otherwise(y)
+    lead = F.regexp_replace(spaced, r"^[，。、,…\s]+", "")
+    return df.withColumn("_tw_clean", F.trim(lead)).drop("_tw_x")
 
-def overlap(prev: str, cur: str, least: int = 6) -> int:
-    """Length of the longest prefix of cur, of at least ``least`` code points, that prev ends with."""
-    head, at, tries = cur[:least], max(0, len(prev) - len(cur)), 0
-    if len(head) < least:
-        return 0
-    while (at := prev.find(head, at)) >= 0:
-        if cur.startswith(prev[at:]):
-            return len(prev) - at
-        at, tries = at + 1, tries + 1
-        if tries == 32:  # texts that repeat themselves: in one pass by the prefix function
-            text = [*cur, None, *prev[at:]]
-            edge = [0] * len(text)
-            for i in range(1, len(text)):
-                k = edge[i - 1]
-                while k and text[i] != text[k]:
-                    k = edge[k - 1]
-                edge[i] = k + (text[i] == text[k])
-            return edge[-1] if edge[-1] >= least else 0
-    return 0
 
+def has_speech(clean: Column) -> Column:
+    return F.coalesce(clean.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
-def _overlap_cut(prev: Column, cur: Column) -> tuple[Column, Column]:
-    """cur without the words that prev ends with, and how many code points those are."""
 
-    @F.pandas_udf("int")
-    def cut(p: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([overlap(x, y) if isinstance(x, str) and isinstance(y, str) else 0 for x, y in zip(p, c, strict=True)], dtype="int32")
+def overlap(prev: Column, cur: Column, least: int = 6) -> Column:
+    """Length of the longest prefix of cur, of at least ``least`` code points, that prev ends with; 0 without one.
 
-    return F.when(prev.isNull(), cur).otherwise(F.expr("substring(_tw_clean, _tw_cut + 1)")), cut(prev, cur)
+    The few rows whose first characters stand in the row before are looked at, every place of those.
+    """
+    may = (F.length(cur) >= least) & F.contains(prev, F.substring(cur, 1, least))
+    starts = F.sequence(F.greatest(F.lit(1), F.length(prev) - F.length(cur) + 1), F.length(prev) - least + 1)
+    first = F.array_min(F.filter(starts, lambda i: F.startswith(cur, F.substr(prev, i))))
+    return F.coalesce(F.when(may, F.length(prev) - first + 1), F.lit(0))
 
 
 def speech_rows(
@@ -123,15 +121,12 @@ def speech_rows(
     cols += [F.col(speaker).alias("_tw_speaker") if speaker else F.lit(None).cast("string").alias("_tw_speaker")]
     rows = df.select(*cols).repartition("conv_id")  # the one shuffle: everything after it is keyed by conv_id
     rows = rows.dropDuplicates(["conv_id", "idx"])
-    seconds, label, body = split_marks(F.col("_tw_text"))
+    rows = clean_wording(split_marks(rows, "_tw_text"), "_tw_body")
     rows = rows.select(
-        "conv_id", "idx", "_tw_end",
-        F.inline(F.array(F.struct(
-            F.coalesce("_tw_start", seconds).alias("_tw_at"),
-            F.coalesce(role_of(F.col("_tw_role")), label, role_of(F.col("_tw_speaker"))).alias("_tw_known"),
-            F.when(F.col("_tw_voice") != "", F.regexp_replace("_tw_voice", "^0+(?=.)", "")).alias("_tw_v"),
-            clean_wording(body).alias("_tw_clean"),
-        ))),
+        "conv_id", "idx", "_tw_end", "_tw_clean",
+        F.coalesce("_tw_start", "_tw_seconds").alias("_tw_at"),
+        F.coalesce(role_of(F.col("_tw_role")), "_tw_label", role_of(F.col("_tw_speaker"))).alias("_tw_known"),
+        F.when(F.col("_tw_voice") != "", F.regexp_replace("_tw_voice", "^0+(?=.)", "")).alias("_tw_v"),
     )
     by_voice = Window.partitionBy("conv_id", "_tw_v")
     of = lambda r: F.count_if(F.col("_tw_known") == r).over(by_voice)
@@ -160,8 +155,8 @@ def turns(rows: DataFrame, pause_factor: float | None = None) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("pos")
     prev = F.lag("clean").over(order)
     rows = rows.withColumn("_tw_prev", prev).withColumnRenamed("clean", "_tw_clean")
-    rest, cut = _overlap_cut(F.col("_tw_prev"), F.col("_tw_clean"))
-    rows = rows.withColumn("_tw_cut", cut).withColumn("_tw_rest", F.coalesce(rest, F.col("_tw_clean")))
+    rows = _stage(rows, overlap(F.col("_tw_prev"), F.col("_tw_clean")).alias("_tw_cut"))
+    rows = rows.withColumn("_tw_rest", F.when(F.col("_tw_cut") > 0, F.substr("_tw_clean", F.col("_tw_cut") + 1)).otherwise(F.col("_tw_clean")))
     new = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
     if pause_factor is not None:
         rows = rows.withColumn("_tw_gap", F.col("start") - F.lag("end").over(order))
@@ -179,10 +174,3 @@ def turns(rows: DataFrame, pause_factor: float | None = None) -> DataFrame:
         F.trim(F.regexp_replace(joined, " +", " ")).alias("text"),
     )
 
-
-def turn_heads(rows: DataFrame) -> DataFrame:
-    """conv_id, turn_no, role, first_idx only: no wording has to move."""
-    order = Window.partitionBy("conv_id").orderBy("pos")
-    marked = rows.withColumn("_tw_new", F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)))
-    heads = marked.filter("_tw_new")
-    return heads.select("conv_id", F.row_number().over(order).alias("turn_no"), "role", F.col("idx").cast("int").alias("first_idx"))
