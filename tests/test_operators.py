@@ -122,10 +122,37 @@ def test_retries(spark, mode, tmp_path):
         got = {r["job"]: (r["attempts"], r["status"], r["errors"]) for r in events.retries(df, "job", "at", "ok", "error").collect()}
         assert got == {"a": (2, "done", ["x"]), "b": (3, "dead_letter", ["p", "q", "r"]), "c": (1, "retrying", [""])}
     else:
-        df.coalesce(1).write.parquet(f"{tmp_path}/jobs.parquet")
-        out = events.run_once(events.retries_stream(events.stream_of(spark, f"{tmp_path}/jobs.parquet"), "job", "ok"), "t")
-        last = {r["job"]: (r["attempts"], r["status"]) for r in out.orderBy("attempts").collect()}
-        assert last == {"a": (2, "done"), "b": (3, "dead_letter"), "c": (1, "retrying")}
+        timed = df.withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("at")))
+        timed.coalesce(1).write.parquet(f"{tmp_path}/jobs.parquet")
+        out = events.run_once(events.retries_stream(events.stream_of(spark, f"{tmp_path}/jobs.parquet"), "job", "at", "ok", "error"), "t")
+        last = {r["job"]: (r["attempts"], r["status"], r["errors"]) for r in out.orderBy("attempts").collect()}
+        assert last == {"a": (2, "done", ["x"]), "b": (3, "dead_letter", ["p", "q", "r"]), "c": (1, "retrying", [""])}
+
+
+def test_state_expires(spark):
+    """Open jobs that go silent are given up, closed ones forgotten; silent keys are reported once, with their state dropped."""
+    rows = [("a", 0, True, "x"), ("b", 5, False, "p")]
+    df = spark.createDataFrame(rows, "job string, s int, ok boolean, error string").select("job", F.timestamp_seconds(1_700_000_000 + F.col("s")).alias("at"), "ok", "error")
+    beat = events.with_heartbeat(df, "at", "3 days", "t").withColumn("job", F.coalesce("job", F.lit("beat")))
+    out = events.run_once(events.retries_stream(beat, "job", "at", "ok", "error", late="1 hour", keep_ms=1000), "t").collect()
+    assert {(r["job"], r["status"]) for r in out if r["job"] != "beat"} == {("a", "done"), ("b", "retrying"), ("b", "given_up")}
+    beat = events.with_heartbeat(df.select("job", "at"), "at", "3 days", "t").withColumn("job", F.coalesce("job", F.lit("beat")))
+    out = events.run_once(events.silent(beat, "job", "at", 1000, "1 hour"), "t").collect()
+    assert sorted((r["job"], r["since_ms"], r["n"]) for r in out) == [("a", 1_700_000_000_000, 1), ("b", 1_700_000_005_000, 1)]
+
+
+def test_dispatch_and_last_versions(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "i int, kind string").coalesce(1).write.parquet(f"{tmp_path}/jobs.parquet")
+    s = events.stream_of(spark, f"{tmp_path}/jobs.parquet")
+    handlers = {"a": lambda x: x.select("i", F.lit("A").alias("r")), "unknown": lambda x: x.select("i", F.col("kind").alias("r"))}
+    got = sorted((r["handler"], r["i"], r["r"]) for r in events.dispatch(s, "kind", handlers, "t").collect())
+    assert got == [("a", 1, "A"), ("a", 4, "A"), ("unknown", 2, "b"), ("unknown", 3, None)]
+    folder = f"{tmp_path}/more"
+    for n in range(3):
+        spark.createDataFrame([("k", n), ("l", n)][: 1 + n], "k string, n int").coalesce(1).write.parquet(f"{folder}/{n}")
+    s = spark.readStream.schema("k string, n int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    out = events.run_once(s.groupBy("k").agg(F.sum("n").alias("total")), "t", "update", ["k"])
+    assert {(r["k"], r["total"]) for r in out.collect()} == {("k", 3), ("l", 3)}
 
 
 def test_readers(spark):

@@ -126,16 +126,18 @@ def m19_two_means(spark, d):
     select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) + 1800000000 as end_us, count(*) as n from y group by user_id, s
 """)
 def z8_sessions(spark, d):
-    """Sessions that end after thirty minutes without a row, computed by a stream."""
-    s = E.stream_of(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    out = E.run_once(E.sessions(s, "user_id", "at", "30 minutes"), "z8", "complete")
+    """Sessions that end after thirty minutes without a row, computed by a stream in append mode."""
+    (e,) = tables(spark, d, "events")
+    s = E.with_heartbeat(e.select("user_id", F.col("ts").cast("timestamp").alias("at")), "at", "40 days", "z8")
+    out = E.run_once(E.sessions(s, "user_id", "at", "30 minutes", "31 days"), "z8").filter("user_id is not null")  # the beat must reach the watermark
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @fam.query("select event_type, cast(ts as date)::varchar as day, (user_id % 10)::varchar as topic, count(*) as n from events group by 1, 2, 3")
 def z9_daily_topics(spark, d):
     s = E.stream_of(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    out = E.run_once(E.daily_topics(s, "event_type", "at", (F.col("user_id") % 10).cast("string")), "z9", "complete")
+    days = E.daily_topics(s, "event_type", "at", (F.col("user_id") % 10).cast("string"), "31 days")
+    out = E.run_once(days, "z9", "update", ["event_type", "day", "topic"])
     return out.select("event_type", F.col("day").cast("string").alias("day"), "topic", "n")
 
 
@@ -147,17 +149,26 @@ def z10_attempts(spark, d):
 
 @fam.query("select distinct record_id, title from manifest")
 def z4_once_each(spark, d):
-    """Deliveries of a key again are dropped by the stream's state."""
-    s = E.stream_of(spark, f"{d}/manifest.parquet").select("record_id", "title")
-    return E.run_once(E.once_each(s, ["record_id"]), "z4")
+    """Deliveries of a key again are dropped by the stream's state, which the watermark clears."""
+    s = E.stream_of(spark, f"{d}/manifest.parquet").select("record_id", "title", "ingested_at")
+    return E.run_once(E.once_each(s, ["record_id"], "ingested_at", "60 days").select("record_id", "title"), "z4")
 
 
-@fam.query()
+_ATTEMPTS = "(select event_id % 997 as job, ts, event_type <> 'error' as ok, props as error, row_number() over (partition by event_id % 997 order by ts, props) as k from events)"
+
+
+@fam.query(f"""
+    with a as {_ATTEMPTS}, f as (select job, min(k) filter (where ok) as first_ok from a group by 1), e as (select job, least(coalesce(first_ok, 3), 3, (select count(*) from a b where b.job = f.job)) as attempts, first_ok from f)
+    select e.job, cast(attempts as int) as attempts, case when first_ok <= 3 then 'done' when attempts >= 3 then 'dead_letter' else 'retrying' end as status,
+      (select coalesce(list(error order by k), []) from a where a.job = e.job and k <= attempts and not ok) as errors from e
+""")
 def z5_retries(spark, d):
-    """Jobs with up to three attempts, then dead letter; errors kept in order."""
+    """Jobs with up to three attempts, then dead letter; errors kept in order (a stream with state that expires)."""
     (e,) = tables(spark, d, "events")
-    x = e.select((F.col("event_id") % 997).alias("job"), "ts", (F.col("event_type") != "error").alias("ok"), F.col("props").alias("error"))
-    return E.retries(x, "job", "ts", "ok", "error")
+    x = e.select((F.col("event_id") % 997).alias("job"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("ok"), F.col("props").alias("error"))
+    out = E.run_once(E.retries_stream(E.with_order(x, "at", "z5"), "job", "at", "ok", "error", late="60 days"), "z5")
+    last = out.filter("status <> 'given_up'").groupBy("job").agg(F.max_by(F.struct("attempts", "status", "errors"), "attempts").alias("l"))
+    return last.select("job", "l.*")
 
 
 @fam.query("select count_if(ts + interval 14 day <= timestamp '2024-01-25') as pruned from events")
@@ -173,8 +184,10 @@ def e13_last_state(spark, d):
     return w.groupBy("case_id").agg(F.max_by("handoff_status", "ingested_at").alias("last_status"))
 
 
-@fam.query("select event_type, count(*) as n from events group by event_type")
+@fam.query("select case when event_type in ('purchase', 'error') then event_type else 'unknown' end as handler, event_id, case event_type when 'purchase' then 'value ' || (value > 10)::varchar when 'error' then coalesce(props, '') else event_type end as result from events")
 def z7_dispatch(spark, d):
-    """Micro-batches handed to a handler by type; the handlers' counts come back."""
-    s = E.stream_of(spark, f"{d}/events.parquet")
-    return E.run_once(s.groupBy("event_type").agg(F.count("*").alias("n")), "z7", "complete")
+    """Micro-batches handed to a handler by type, each with its own work; unknown types are kept."""
+    s = E.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "value", "props")
+    done = lambda result: lambda part: part.select("event_id", result.cast("string").alias("result"))
+    handlers = {"purchase": done(F.concat(F.lit("value "), (F.col("value") > 10).cast("string"))), "error": done(F.coalesce("props", F.lit(""))), "unknown": done(F.col("event_type"))}
+    return E.dispatch(s, "event_type", handlers, "z7").select("handler", "event_id", "result")

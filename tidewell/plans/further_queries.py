@@ -579,21 +579,21 @@ def z2_consume(spark, d):
     return E.run_once(E.stream_of(spark, queue), "z2")
 
 
-@fam.query("select event_id from (select *, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events) where coalesce(nxt, timestamp '2024-02-01') - ts > interval 60 minute and event_type = 'error'")
+@fam.query("select user_id, epoch_us(max(ts)) // 1000 as since_ms, cast(count(*) as int) as n from events where user_id is not null group by user_id")
 def z3_stale(spark, d):
-    """Pending rows idle for longer than an hour are up for another consumer."""
+    """Owners that have been silent for a minute, by a stream whose timer fires on event time: pending rows to take over."""
     (e,) = tables(spark, d, "events")
-    nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    idle = F.coalesce(nxt, F.lit("2024-02-01").cast("timestamp_ntz")) - F.col("ts")
-    return e.select("event_id", "event_type", idle.alias("idle")).filter((F.col("idle") > F.expr("INTERVAL '60' MINUTE")) & (F.col("event_type") == "error")).select("event_id")
+    s = E.with_heartbeat(e.select("user_id", F.col("ts").cast("timestamp").alias("at")), "at", "40 days", "z3")
+    return E.run_once(E.silent(s, "user_id", "at", 60_000, "31 days"), "z3").filter("user_id is not null")
 
 
 @fam.query("select cast(ts as date)::varchar as day, count(*) as signals, count_if(event_type = 'error') as bad, count_if(event_type = 'error') > 0.2 * count(*) as adapt from events group by 1")
 def z13_cycle(spark, d):
     """One cycle a day over what came: observed, counted, decided."""
-    s = E.stream_of(spark, f"{d}/events.parquet")
-    g = s.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("signals"), F.count_if(F.col("event_type") == "error").alias("bad"))
-    return E.run_once(g, "z13", "complete").withColumn("adapt", F.col("bad") > 0.2 * F.col("signals"))
+    s = E.stream_of(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "31 days")
+    g = s.groupBy(F.window("at", "1 day").alias("w")).agg(F.count("*").alias("signals"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    out = E.run_once(g.select(F.to_date("w.start").cast("string").alias("day"), "signals", "bad"), "z13", "update", ["day"])
+    return out.withColumn("adapt", F.col("bad") > 0.2 * F.col("signals"))
 
 
 @fam.query("select case_id, cast(i as int) as part, substr(summary, (i * 16 + 1)::int, 16) as slice from (select case_id, summary, unnest(range(0, (length(summary) + 15) // 16)) as i from " + W + " where summary is not null)")

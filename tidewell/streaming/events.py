@@ -8,11 +8,12 @@ the state: rows later than the watermark are left out, as the reference's own cl
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewell.session import shared_dir
 
@@ -24,13 +25,51 @@ def stream_of(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(pattern)
 
 
-def run_once(df: DataFrame, what: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is available and gives the result as a table."""
+def with_heartbeat(df: DataFrame, at: str, ahead: str, what: str) -> DataFrame:
+    """A stream of the rows of a batch table and, in a batch of its own after them, one row whose time lies ``ahead`` of
+    all others and whose other columns are null: it moves the watermark on, so that append mode gives up every group.
+
+    As a source that goes silent would be told apart from one that has nothing to say.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewell-beat-{what}-{uuid.uuid4().hex}"
+    df.coalesce(8).write.parquet(f"{path}/a")  # files are read in the order in which they were written: the beat comes last
+    last = df.agg((F.max(at) + F.expr(f"interval {ahead}")).alias(at)).filter(F.col(at).isNotNull())
+    last.select(*[F.col(at) if c == at else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]).coalesce(1).write.parquet(f"{path}/b")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def with_order(df: DataFrame, at: str, what: str) -> DataFrame:
+    """A stream of the rows of a batch table in files by time, as a queue delivers them."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewell-queue-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def run_once(df: DataFrame, what: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs the stream over all that is available and gives the result as a table.
+
+    mode update with keys: each batch adds the rows that changed, and the table has the last version of each key, so that
+    nothing is ever written twice and the stream may forget what its watermark has passed.
+    """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/tidewell-stream-{what}-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    else:  # complete or update: the last version of each batch
+    elif mode == "update" and keys:
+
+        def add(batch: DataFrame, n: int) -> None:
+            batch.withColumn("_tw_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/{n:012d}")
+
+        q = df.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rest = [c for c in df.columns if c not in keys]
+        schema = StructType([*df.schema.fields, StructField("_tw_batch", LongType())])
+        every = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+        last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_tw_batch").alias("_tw_last"))
+        return last.select(*[F.col(c) if c in keys else F.col(f"_tw_last.{c}") for c in df.columns])
+    else:  # complete: the last version of each batch
 
         def write(batch: DataFrame, n: int) -> None:
             batch.write.mode("overwrite").parquet(f"{base}/out")
@@ -101,21 +140,83 @@ def retries(df: DataFrame, job: str, at: str, ok: str, error: str, most: int = 3
     return df.select(job, at, ok, error).groupBy(job).applyInPandas(fold, schema)
 
 
-def retries_stream(df: DataFrame, job: str, ok: str, most: int = 3) -> DataFrame:
-    """The same on a stream, with the number of attempts as state per job."""
+def retries_stream(df: DataFrame, job: str, at: str, ok: str, error: str, most: int = 3, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
+    """The same on a stream (append): one row an attempt that counts, with the errors so far.
+
+    State a job: attempts, whether closed, errors.  A closed job is remembered for ``keep_ms`` past its last row, so
+    that redeliveries are dropped, and an open one that goes silent for as long is given up; then both are forgotten.
+    """
     kind = df.schema[job].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, closed = state.get if state.exists else (0, False)
-        rows = []
+        if state.hasTimedOut:
+            n, closed, errors = state.get
+            state.remove()
+            yield pd.DataFrame([] if closed else [(key[0], n, "given_up", list(errors))], columns=[job, "attempts", "status", "errors"])
+            return
+        n, closed, errors = state.get if state.exists else (0, False, [])
+        errors, rows, last = list(errors), [], 0
         for pdf in batches:
-            for good in pdf[ok]:
+            last = max(last, int(pdf["_tw_ms"].max()))
+            for good, e in pdf.sort_values([at, error], kind="stable")[[ok, error]].itertuples(index=False):
                 if closed:
                     continue
                 n += 1
+                if not good:
+                    errors = [*errors, (e or "")[:2000]]
                 closed = bool(good) or n >= most
-                rows.append((key[0], n, "done" if good else "dead_letter" if n >= most else "retrying"))
-        state.update((n, closed))
-        yield pd.DataFrame(rows, columns=[job, "attempts", "status"])
+                rows.append((key[0], n, "done" if good else "dead_letter" if closed else "retrying", list(errors)))
+        state.update((n, closed, errors))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame(rows, columns=[job, "attempts", "status", "errors"])
+
+    src = df.select(job, at, ok, error, F.unix_millis(F.col(at)).alias("_tw_ms")).withWatermark(at, late)
+    schema = f"`{job}` {kind}, attempts int, status string, errors array<string>"
+    return src.groupBy(job).applyInPandasWithState(step, schema, "n int, closed boolean, errors array<string>", "append", "EventTimeTimeout")
+
+
+def silent(df: DataFrame, key: str, at: str, idle_ms: int, late: str = "0 seconds") -> DataFrame:
+    """key, since, n (append): keys without a row for ``idle_ms`` of event time, when that was last, and rows until then.
+
+    A key is reported each time it goes silent: pending jobs to be taken over, workers that show no sign of life.  Its state
+    is dropped with the report.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, last = state.get
+            state.remove()
+            yield pd.DataFrame([(k[0], last, n)], columns=[key, "since_ms", "n"])
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for pdf in batches:
+            n += len(pdf)
+            last = max(last, int(pdf["_tw_ms"].max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=[key, "since_ms", "n"])
+
+    src = df.withWatermark(at, late).select(key, at, F.unix_millis(F.col(at)).alias("_tw_ms"))
+    out = src.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, since_ms bigint, n int", "n int, last bigint", "append", "EventTimeTimeout")
+    return out
+
+
+def dispatch(df: DataFrame, kind: str, handlers: dict[str, Callable[[DataFrame], DataFrame]], what: str, other: str = "unknown") -> DataFrame:
+    """Micro-batches handed to a handler by type; what the handlers return (one schema) is kept, with the handler's name.
+
+    Rows of a type without a handler are kept as type ``other`` by the handler of that name, if there is one.
+    """
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/tidewell-stream-{what}-{uuid.uuid4().hex}"
+    known = [k for k in handlers if k != other]
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        for name, handle in handlers.items():
+            part = batch.filter(~F.coalesce(F.col(kind).isin(*known), F.lit(False))) if name == other else batch.filter(F.col(kind) == name)
+            handle(part).withColumn("handler", F.lit(name)).write.mode("overwrite").parquet(f"{base}/out/{n:012d}-{known.index(name) if name in known else len(known)}")
+        batch.unpersist()
 
-    return df.select(job, ok).groupBy(job).applyInPandasWithState(step, f"`{job}` {kind}, attempts int, status string", "n int, closed boolean", "append", "NoTimeout")
+    df.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
