@@ -32,6 +32,7 @@ out never veto; an address that reaches only an estate or a road matches nothing
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -157,11 +158,12 @@ def names(parsed: DataFrame) -> DataFrame:
     return flat.groupBy("i.block", "loc", "i.kind", "i.written", "latin").agg(F.first("i.spelled").alias("spelled"), F.count("*").alias("n"))
 
 
-def candidates(all_names: DataFrame) -> DataFrame:
+def candidates(all_names: DataFrame, asking: Column | None = None) -> DataFrame:
     """Pairs (a_..., b_...) of names of one block, neighbouring localities and kinds that agree once one token is left out.
 
     The deletion neighbourhood: a name stands under itself, under itself with each token replaced by a
-    blank (another token), and under itself without each token (a lost one, met by whole names only).
+    blank (another token), and under itself without each token (a lost one, met by whole names only; of a road's
+    two tokens none may be lost).  asking: which names ask (a); every name answers (b).
     """
     s = F.split("s", " ")
     at = F.sequence(F.lit(1), F.size(s))
@@ -169,10 +171,11 @@ def candidates(all_names: DataFrame) -> DataFrame:
     blank, lost = F.transform(at, lambda i: without(i, F.array(F.lit("*")))), F.transform(at, lambda i: without(i, F.array().cast("array<string>")))
     sign = lambda m, x: F.transform(x, lambda y: F.concat(F.lit(m), y))
     spelled = all_names.select("*", F.explode("spelled").alias("s"))
-    left = F.concat(F.array("s"), blank, sign("-", lost), sign("+", F.array("s")))
-    right = F.concat(F.array("s"), blank, sign("+", lost), sign("-", F.array("s")))
+    short = F.array("s")
+    left, right = (F.when(F.col("block").startswith("R"), F.concat(short, blank)).otherwise(F.concat(short, blank, sign(m, lost), sign(w, short))) for m, w in ("-+", "+-"))
     cols = ("loc", "kind", "written", "latin", "s", "n")
-    a = spelled.select("block", F.explode(left).alias("key"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    ask = spelled if asking is None else spelled.filter(asking)
+    a = ask.select("block", F.explode(left).alias("key"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = spelled.select("block", F.explode(right).alias("key"), *[F.col(c).alias(f"b_{c}") for c in cols])
     near = a.join(b, ["block", "key"]).filter(F.col("a_written") != F.col("b_written"))
     for c in ("loc", "kind"):
@@ -333,9 +336,13 @@ def members(records: DataFrame, districts: dict[str, str], keep: Callable[[DataF
     """
     reading = readings(records.sparkSession)
     parsed = keep(parse_records(records.dropDuplicates(["rec_key"]), districts, reading))
-    near = keep(candidates(names(parsed)))
+    named = keep(names(parsed))
+    sure = F.col("block").rlike("^[NX]")  # blocks in which established names ask as well, and confusions show
+    near = keep(candidates(named.filter(sure)))
     same = confusions(near)
     slip = slips(name_characters(parsed), lambda c: same.get(reading.get(c, c), reading.get(c, c)))
+    odd = F.col("latin") | (F.col("written").rlike("[" + re.escape("".join(sorted(slip))) + "]") if slip else F.lit(False))
+    near = near.unionByName(candidates(named.filter(~sure), odd))
     placed = place_keys(parsed, keep(assigned(near, slip, same)))
     return placed.withColumn("at_road", F.when(F.col("kind") != "crossing", F.col("at_road"))).select("rec_key", "place", *_VETO)
 
