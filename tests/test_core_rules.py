@@ -116,6 +116,11 @@ def test_bounds_are_errors(spark, monkeypatch):
         session.shared_dir(Cluster)
 
 
+def test_release(spark):
+    df = session.materialise(spark.range(5), "t")
+    assert df.count() == 5 and session.release(spark) >= 1 and session.release(spark) == 0
+
+
 def test_both_ways_of_a_bounded_filter(spark, monkeypatch):
     """Filters inside the scan and the joins beyond their bound give the same."""
     rng = random.Random(6)

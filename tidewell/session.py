@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,18 +50,36 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="tidewell-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
         found = _own_dirs[app]
     return found
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: a lineage cut that survives lost executors."""
+    """Writes the rows to the shared folder and reads them again: a lineage cut that survives lost executors.
+
+    The table stays until ``release``, as results read it when they are computed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this application has materialised so far; results not yet computed need them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 _shipped: set[str] = set()
 
 
