@@ -336,12 +336,6 @@ def m10_confidences(spark, d):
     return g.select("dept_id", F.round(ST.clamp(0.6 + 0.08 * (n > 20).cast("int") + 0.001 * n, 0.5, 0.95), 4).alias("confidence"), F.round(F.least(F.lit(0.95), 0.6 + 0.1 * F.col("k")), 4).alias("by_words"), F.round(F.least(F.lit(0.95), 0.5 + 0.02 * n), 4).alias("by_size"))
 
 
-@fam.query("select event_id, levenshtein(event_type, 'purchase')::int as distance from events")
-def m15_edit_distance(spark, d):
-    (e,) = tables(spark, d, "events")
-    return e.select("event_id", F.levenshtein("event_type", F.lit("purchase")).alias("distance"))
-
-
 @fam.query("with q as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v), 5) as dot from q a join q b on b.vec_id = a.vec_id + 1")
 def m3_dot(spark, d):
     """Dot products of all vectors of neighbouring ids, in the JVM."""
@@ -418,21 +412,6 @@ def r10_union(spark, d):
     return T.top(h, ["grp"], [F.col("o"), F.col("doc_id")], 8, "place").select("grp", "doc_id", "place")
 
 
-@fam.query(f"select case_id, case when contains(t, '电梯') then 'dept_market' when contains(t, '噪音') then 'dept_eco' else dept_id end as routed, case when contains(t, '电梯') or contains(t, '噪音') then 0.95 else 0.3 end::double as confidence from {W} where t is not null")
-def g1_phrase_route(spark, d):
-    """A priority phrase decides, else the fallback (G1, G4); the phrases are a parameter."""
-    t = F.col("t")
-    hit = t.contains("电梯") | t.contains("噪音")
-    return _orders(spark, d).filter("t is not null").select("case_id", F.when(t.contains("电梯"), "dept_market").when(t.contains("噪音"), "dept_eco").otherwise(F.col("dept_id")).alias("routed"), F.when(hit, 0.95).otherwise(0.3).alias("confidence"))
-
-
-@fam.query(f"select case_id, list_distinct([dept_id] || case when contains(t, '物业') then ['dept_housing'] else []::varchar[] end) as depts from {W} where t is not null and false union all select case_id, list_sort(list_distinct([dept_id] || case when contains(t, '物业') then ['dept_housing'] else []::varchar[] end)) from {W} where t is not null")
-def g5_expansion(spark, d):
-    """A keyword appends a department if it is absent."""
-    add = F.when(F.col("t").contains("物业"), F.array(F.lit("dept_housing"))).otherwise(F.array().cast("array<string>"))
-    return _orders(spark, d).filter("t is not null").select("case_id", F.array_sort(F.array_union(F.array("dept_id"), add)).alias("depts"))
-
-
 @fam.query("select distinct m.record_id, x.dept_id from manifest m join departments x on contains(m.relative_path, x.category)")
 def g6_path_route(spark, d):
     m, dep = tables(spark, d, "manifest", "departments")
@@ -664,15 +643,6 @@ def m16_match_ratio(spark, d):
     return x.select("case_id", F.round(match_ratio(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))), 6).alias("ratio"))
 
 
-@fam.query("select d.doc_id, list_sort(['notice', 'guide', 'faq', 'policy', 'case'][list_position(['notice', 'guide', 'faq', 'policy', 'case'], doc_type) + 1:]) as later from documents d where doc_type is not null")
-def d11_difference(spark, d):
-    """What of an expected list comes after a value."""
-    (x,) = tables(spark, d, "documents")
-    kinds = F.array(*map(F.lit, ["notice", "guide", "faq", "policy", "case"]))
-    at = F.array_position(kinds, F.col("doc_type")).cast("int")
-    return x.filter("doc_type is not null").select("doc_id", F.array_sort(F.slice(kinds, at + 1, 5)).alias("later"))
-
-
 @fam.query("select page_id, page_id % 5 <> 0 as indexed from (select distinct page_id from parsed_documents)")
 def x15_reindex(spark, d):
     """Derived rows recomputed from the status of their document."""
