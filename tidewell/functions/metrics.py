@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,30 +79,38 @@ def diarization_error(df: DataFrame, call: str, frame: float = 0.05) -> DataFram
 
     df: call, side (ref or hyp), speaker, start, end.  Calls without both sides give no row.  The frames of a
     call are counted to a table of label pairs, and the mapping is the optimal assignment on that table, so that
-    any number of labels is fine.  Of overlapping segments of a side the first wins.
+    any number of labels is fine.  Of overlapping segments of a side the first to begin wins.
     """
     schema = f"`{call}` {df.schema[call].dataType.simpleString()}, der double, miss double, false_alarm double, confusion double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["start", "end"])
-        sides = {s: g.sort_index() for s, g in pdf.groupby("side")}
-        empty = pd.DataFrame(columns=[call, "der", "miss", "false_alarm", "confusion"])
-        if not {"ref", "hyp"} <= set(sides):
-            return empty
-        n = max(1, math.ceil(pdf["end"].max() / frame - 1e-9))
-        lanes, sizes = {}, {}
-        for s, g in sides.items():
-            who, names = pd.factorize(g["speaker"].astype(str), sort=True)
-            lane = np.zeros(n, np.int64)  # 0: nobody
-            lo = np.maximum(0, np.ceil(g["start"].to_numpy() / frame - 0.5 - 1e-9).astype(int))
-            hi = np.minimum(n, np.ceil(g["end"].to_numpy() / frame - 0.5 - 1e-9).astype(int))
-            for w, a, b in zip(who[::-1], lo[::-1], hi[::-1], strict=True):
-                lane[a : max(a, b)] = w + 1
-            lanes[s], sizes[s] = lane, len(names)
-        pairs = np.bincount(lanes["ref"] * (sizes["hyp"] + 1) + lanes["hyp"], minlength=(sizes["ref"] + 1) * (sizes["hyp"] + 1)).reshape(sizes["ref"] + 1, sizes["hyp"] + 1)
-        right = sum(int(pairs[i + 1, j + 1]) for i, j in best_mapping(pairs[1:, 1:]))
-        speech = max(1, int(pairs[1:].sum()))
-        miss, alarm, wrong = int(pairs[1:, 0].sum()), int(pairs[0, 1:].sum()), int(pairs[1:, 1:].sum()) - right
-        return pd.DataFrame([(pdf[call].iloc[0], (miss + wrong + alarm) / speech, miss / speech, alarm / speech, wrong / speech)], columns=empty.columns)
-
-    return df.select(call, "side", "speaker", "start", "end").groupBy(call).applyInPandas(run, schema)
+    names = ["der", "miss", "false_alarm", "confusion"]
+
+    def lane(segments: list, n: int) -> tuple[np.ndarray, int]:
+        """Label of each frame (0: nobody), and how many labels there are."""
+        number = {w: i + 1 for i, w in enumerate(sorted({str(s["speaker"]) for s in segments}))}
+        out = np.zeros(n, np.int64)
+        for s in reversed(segments):
+            lo, hi = max(0, math.ceil(s["start"] / frame - 0.5 - 1e-9)), min(n, math.ceil(s["end"] / frame - 0.5 - 1e-9))
+            out[lo : max(lo, hi)] = number[str(s["speaker"])]
+        return out, len(number)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, segments in zip(pdf[call], pdf["segments"], strict=True):
+                sides = {s: [x for x in segments if x["side"] == s] for s in ("ref", "hyp")}
+                if not all(sides.values()):
+                    continue
+                n = max(1, math.ceil(max(x["end"] for x in segments) / frame - 1e-9))
+                (ref, a), (hyp, b) = (lane(sides[s], n) for s in ("ref", "hyp"))
+                pairs = np.bincount(ref * (b + 1) + hyp, minlength=(a + 1) * (b + 1)).reshape(a + 1, b + 1)
+                right = sum(int(pairs[i + 1, j + 1]) for i, j in best_mapping(pairs[1:, 1:]))
+                speech = max(1, int(pairs[1:].sum()))
+                miss, alarm, wrong = int(pairs[1:, 0].sum()), int(pairs[0, 1:].sum()), int(pairs[1:, 1:].sum()) - right
+                rows.append((key, (miss + wrong + alarm) / speech, miss / speech, alarm / speech, wrong / speech))
+            yield pd.DataFrame(rows, columns=[call, *names])
+
+    # a call's segments meet as one array, bounded by the call; of those that overlap the first to begin wins
+    given = df.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    met = given.groupBy(call).agg(F.array_sort(F.collect_list(F.struct("start", "end", "speaker", "side"))).alias("segments"))
+    return met.mapInPandas(run, schema)

@@ -9,7 +9,7 @@ from tidewell.operators import graphs as G
 from tidewell.operators import retrieval as R
 from tidewell.operators import tables as T
 from tidewell.plans.common import Family, tables
-from tidewell.session import materialise
+from tidewell.session import materialise, spread
 
 fam = Family()
 queries, oracle_sql = lambda: fam.found, lambda: fam.sql
@@ -26,12 +26,12 @@ _BM25 = f"""
 @fam.query("select term, count(*) as df, sum(tf)::bigint as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(" + _TOK.format("text") + ") as term from documents where text is not null) group by 1, 2) group by term")
 def a22_term_statistics(spark, d):
     (x,) = tables(spark, d, "documents")
-    return R.term_statistics(x, "text")
+    return R.term_statistics(spread(x), "text")
 
 
 def _lexical(spark, d, k=20):
     x, q = tables(spark, d, "documents", "eval_items")
-    scored = R.bm25(x.filter("text is not null"), "doc_id", "text", q, "item_id", "query").withColumn("score", F.round("score", 9))
+    scored = R.bm25(spread(x).filter("text is not null"), "doc_id", "text", q, "item_id", "query").withColumn("score", F.round("score", 9))
     return R.top_k(scored, "item_id", "doc_id", k)
 
 
@@ -64,7 +64,7 @@ def r2_vector(spark, d):
 def r3_fused(spark, d):
     """Two rankings of one query table, fused with weights 1.0 and 0.7."""
     x, q = tables(spark, d, "documents", "eval_items")
-    scored = R.bm25(x.filter("text is not null"), "doc_id", "text", q, "item_id", "query")
+    scored = R.bm25(spread(x).filter("text is not null"), "doc_id", "text", q, "item_id", "query")
     lex = R.top_k(scored.withColumn("score", F.round("score", 9)), "item_id", "doc_id", 20)
     alt = R.top_k(scored.withColumn("score", F.round(0.5 * F.col("score") + 0.001 * (F.col("doc_id") % 97), 9)), "item_id", "doc_id", 20)
     fused = R.fuse([lex, alt], "item_id", "doc_id", [1.0, 0.7]).withColumn("score", F.round("score", 9))

@@ -54,10 +54,10 @@ def f5_tokens(spark, d):
 def f6_keywords(spark, d):
     from tidewell.operators.retrieval import postings
     from tidewell.operators.tables import top
-    from tidewell.session import materialise
+    from tidewell.session import materialise, spread
 
     (x,) = tables(spark, d, "documents")
-    p = materialise(postings(x.filter("text is not null"), "doc_id", "text"), "f6")  # tokenised once, used three times
+    p = materialise(postings(spread(x).filter("text is not null"), "doc_id", "text"), "f6")  # tokenised once, used three times
     n = p.select("doc_id").distinct().agg(F.count("*").alias("n"))
     f = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
     s = p.join(f, "term").select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6).alias("w"))

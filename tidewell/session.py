@@ -38,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table scan of fewer splits than half the cores, dealt to all of them; other scans as they are.
+
+    A small file is one split, and heavy work on each of its rows would keep one core busy.  Large tables never move here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() > cores else df.repartition(cores)
+
+
 _own_dirs: dict[str, str] = {}
 
 
