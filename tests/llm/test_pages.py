@@ -110,3 +110,25 @@ def test_blocks_agree(spark, small):
             elif x.strip():
                 outside += not judged[str(p["page_id"]), i]
     assert kept >= 0.98 * inside and outside > 0
+
+
+def test_every_page_of_a_large_host_counts(spark):
+    """A host of several blocks, with repeats, has the counts that one pass over all of its pages gives."""
+    rows, _ = _pages(500, hosts=1)
+    other, _ = _pages(30, hosts=1)
+    rows += [(k, "https://small.example/", *r) for k, _, *r in other]
+    df = spark.createDataFrame(rows + rows[:90], "rec_key string, url string, raw_text string, quote_key string, quote string, plus string")
+    got, want = {}, {}
+    for r in B.induce(df, keep=lambda x: materialise(x, "test")).collect():
+        got.setdefault(r[0], {})[r[1]] = tuple(r[2:])
+    assert got["h0.example"][""][0] == 500 and got["*"][""][0] == 530
+    parts = df.filter("rec_key is not null").selectExpr("url like '%small%' as small", "pmod(xxhash64(raw_text), 2) as block", "raw_text").distinct().collect()
+    want["h0.example"] = B.host_counts([[r["raw_text"] for r in parts if not r["small"] and r["block"] == k] for k in (0, 1)])
+    want["small.example"] = B.host_counts([[r["raw_text"] for r in parts if r["small"]]])
+    for host, counts in want.items():
+        least = max(B.LEAST_PAGES, B.LEAST_SHARE * counts[0][1])
+        assert got[host] == {x: tuple(n) for x, *n in counts if not x or n[0] >= least}
+    total = {}
+    for x, *n in [*want["h0.example"], *want["small.example"]]:
+        total[x] = tuple(a + b for a, b in zip(n, total.get(x, (0,) * 7), strict=True))
+    assert got["*"] == {x: n for x, n in total.items() if not x or n[0] >= B.LEAST_PAGES}
