@@ -111,3 +111,28 @@ def test_boosting_learns_a_rule():
     t = boosting.calibrated_threshold(m.probability(x[:2000]), y[:2000])
     assert ((p > t) == y[2000:]).mean() > 0.95
     assert boosting.fit(x[:1], y[:1]).probability(x[:3]).shape == (3,)
+
+
+def test_contexts_of_all_texts(spark, sample):
+    """Counted where the texts are, they equal one pass over all of them, beyond what is fitted on too."""
+    texts = [*sample[0][:700], "", "王", "１２王小明", "王小明王小明\n王小明", "欧阳\U0001f600王"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    made = ["联系人：王小明", "王小明"]
+    got, want = P.count_contexts(df, "text", made), P.Contexts([*(t for t in texts if t), *made])
+    assert got.pairs == want.pairs and got.triples == want.triples
+    assert got.left == want.left and got.right == want.right
+    few = P.train(sample[0][:50], D, sample[1][:50], count=lambda made: P.count_contexts(df, "text", made))
+    assert few.seen.pairs["王小"] >= 4 and len(few.seen.left) > len(P.train(sample[0][:50], D, sample[1][:50]).seen.left)
+
+
+def test_contexts_do_not_depend_on_the_size(spark, sample, monkeypatch):
+    """Three times the same texts, and three times as many as are fitted on, give the counts of one."""
+    texts = sample[0][:300]
+    monkeypatch.setattr(P, "SAMPLE_ROWS", len(texts))
+    df = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    got, want = P.count_contexts(df, "text", ["王小明"] * 2), P.Contexts([*texts, "王小明", "王小明"])
+    assert got.pairs["王小"] == pytest.approx(want.pairs["王小"])
+    for k, n in want.pairs.items():
+        assert got.pairs[k] == pytest.approx(n)
+    for k, (share, _, size) in want.left.items():
+        assert got.left[k][0] == pytest.approx(share) and got.left[k][2] == pytest.approx(size)

@@ -8,9 +8,9 @@ context; boosted trees, one model a type, give a probability; a threshold calibr
 sentences selects, and of overlapping selections the surest stays.  The selected spans are replaced by
 typed placeholders.
 
-Context is measured, not listed: ``Contexts`` counts, over the fitting sample, what stands before and
-behind family names (how often, and how varied), how often pairs of characters occur, and how often
-whole strings recur.
+Context is measured, not listed: ``Contexts`` counts, over all texts (``count_contexts``), what stands
+before and behind family names (how often, and how varied), how often pairs of characters occur, and in
+how many texts strings of three recur.
 
 Labels do not come from the features.  ``pii_samples`` inserts generated names, numbers, mail addresses
 and addresses, and things that only look like them, at known places into the sample's own sentences; the
@@ -20,8 +20,8 @@ random characters and without its leading parts.  The name model is fitted twice
 the sample's own candidates of which the first is sure (self-training), so that wordings no carrier has
 are learned from what stands around names.
 
-The sample is bounded (``SAMPLE_ROWS`` texts, by hash of the key); the texts in it are whole, and every
-text of the corpus is read whole.  Positions are code points.  Defined results: null and empty texts have
+The trees and thresholds are fitted on a bounded sample (``SAMPLE_ROWS`` texts, by hash of the key) under the
+contexts of all texts; the texts in it are whole, and every text of the corpus is read whole.  Positions are code points.  Defined results: null and empty texts have
 no spans and stay as they are; repeated rows count once; extra columns are ignored.
 """
 
@@ -32,11 +32,11 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import boosting, pii_samples
@@ -95,7 +95,7 @@ _STOPS = frozenset("，。！？、；：,.!?;:\n\t []【】（）()<>{}♪*…/
 
 
 class Contexts:
-    """Counts over the fitting sample."""
+    """Counts over texts."""
 
     def __init__(self, texts: list[str]) -> None:
         self.pairs: Counter[str] = Counter()
@@ -124,8 +124,21 @@ class Contexts:
                 count(behind, t[i], name, t[i - 2 : i])
         self.pairs = Counter({k: n for k, n in self.pairs.items() if n > 1})
         self.triples = Counter({k: n for k, n in self.triples.items() if n > 1 and k[0] in _SURNAME_SET})
-        # share of family names, how varied what follows (precedes) is, how frequent the context is; two characters, or one where two are rare
-        self.left, self.right = ({k: (s / n, len(v) / min(n, _VARIED), math.log(n)) for k, (n, s, v) in c.items() if n >= (_RARE if len(k) == 2 else 2)} for c in (before, behind))
+        self.left, self.right = (self._shares({k: (n, s, len(v), n) for k, (n, s, v) in c.items()}) for c in (before, behind))
+
+    @staticmethod
+    def _shares(counts: dict[str, tuple[float, float, int, int]]) -> dict[str, tuple[float, float, float]]:
+        """Share of family names, how varied what follows (precedes) is, how frequent the context is; two characters, or one where two are rare."""
+        return {k: (s / n, min(v, _VARIED) / min(raw, _VARIED), math.log(max(n, 1))) for k, (n, s, v, raw) in counts.items() if raw >= (_RARE if len(k) == 2 else 2)}
+
+    @classmethod
+    def counted(cls, pairs: dict[str, float], triples: dict[str, float], before: dict[str, tuple[float, float, int, int]], behind: dict[str, tuple[float, float, int, int]]) -> Contexts:
+        """From counts over all texts, of what occurs more than once: of contexts how often, with a family name, beside how many
+        others, and how often before scaling."""
+        out = cls([])
+        out.pairs, out.triples = Counter(pairs), Counter(triples)
+        out.left, out.right = cls._shares(before), cls._shares(behind)
+        return out
 
     def share_before(self, t: str, a: int) -> tuple[float, float, float]:
         two = t[a - 2 : a] if a > 1 else "\n" + t[:a]
@@ -143,6 +156,86 @@ _VARIED, _RARE = 200, 2
 LEAST_SHARE = 0.15
 
 
+_CODE = 21  # bits of a code point
+_GRAM = ("kind", "a", "b", "n", "before", "behind", "named")
+
+
+def grams(texts: list[str]) -> pd.DataFrame:
+    """The counts behind ``Contexts`` of a batch of texts.
+
+    kind 0: two characters a and the two behind them, b (code points in one number): how often (n), how often as a context
+    before and behind a place, and how often behind a family name; kind 1: three characters that begin with a family
+    name, a: in how many texts (n).
+    """
+    wrapped = ["\n" + half_width(t) + "\n" for t in texts]
+    size = np.array([len(t) for t in wrapped], np.int64)
+    end = chr(0x10FFFF) * 2
+    c = np.frombuffer("".join(t + end for t in wrapped).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), size + 2)
+    place = np.arange(len(c)) - np.repeat(np.cumsum(size + 2) - size - 2, size + 2)
+    long, family = size[text], np.isin(c, _FAMILY_CODES)
+    at = np.nonzero((place >= 2) & (place <= long))[0]
+    p, n = place[at], long[at]
+    two = lambda i: c[i] << _CODE | c[i + 1]
+    (a, ia), (b, ib) = (np.unique(x, return_inverse=True) for x in (two(at - 2), two(at)))
+    both, k = np.unique(ia.astype(np.int64) << 32 | ib, return_inverse=True)
+    behind = (p >= 3) & (p <= n - 2)
+    flags = (np.ones(len(at), bool), p <= n - 1, behind, behind & (family[at - 3] | family[at - 2]))
+    sums = [np.bincount(k[x], minlength=len(both)) for x in flags]
+    one = pd.DataFrame({"kind": 0, "a": a[both >> 32], "b": b[both & 0xFFFFFFFF], **dict(zip(_GRAM[3:], sums, strict=True))})
+    at = np.nonzero(family & (place <= long - 3))[0]
+    held = pd.DataFrame({"text": text[at], "a": c[at] << 2 * _CODE | two(at + 1)}).drop_duplicates()
+    three = held.groupby("a").size().rename("n").reset_index().assign(kind=1, b=0, before=0, behind=0, named=0)
+    return pd.concat([one, three[list(_GRAM)]], ignore_index=True)
+
+
+_FAMILY_CODES = np.array(sorted(map(ord, _SURNAME_SET)), np.int64)
+
+
+def count_contexts(df: DataFrame, text: str, more: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Contexts:
+    """The contexts of all texts of a column and of ``more``, counted where the texts are.
+
+    Features must not depend on the size of the corpus, as generated names recur no more often in a larger one: the
+    counts of more than ``SAMPLE_ROWS`` texts are given for so many.  Those of ``more`` are not scaled.  What comes to the
+    driver is what occurs more than once, and grows with the characters in use.  keep: stores what it is given.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for made, part in pdf.groupby("made"):
+                size = pd.DataFrame([(2, 0, 0, len(part), 0, 0, 0)], columns=_GRAM)
+                yield pd.concat([grams(part["t"].to_list()), size]).assign(made=made)
+
+    extra = df.sparkSession.createDataFrame(pd.DataFrame({"t": pd.Series(more, dtype=object)}), "t string")
+    texts = df.select(F.col(text).alias("t"), F.lit(False).alias("made")).filter(F.length("t") > 0).unionByName(extra.withColumn("made", F.lit(True)))
+    counted = texts.mapInPandas(run, "kind int, " + ", ".join(f"{x} bigint" for x in _GRAM[1:]) + ", made boolean")
+    counted = keep(counted.groupBy(*_GRAM[:3], "made").agg(*[F.sum(x).alias(x) for x in _GRAM[3:]]))
+    total = counted.filter("kind = 2 and not made").agg(F.max("n")).first()[0] or 0
+    share = F.when(F.col("made"), 1.0).otherwise(min(1.0, SAMPLE_ROWS / max(total, 1)))
+    quads = counted.filter("kind = 0")
+    family = F.shiftright("b", _CODE).isin([int(x) for x in _FAMILY_CODES])
+
+    def spelled(code: int, size: int) -> str:
+        return "".join(chr(code >> _CODE * i & (1 << _CODE) - 1) for i in reversed(range(size)))
+
+    sums = [F.sum(x).alias(x) for x in ("n", "s", "raw")]
+
+    def often(rows: DataFrame, size: int) -> dict[str, float]:
+        rows = rows.select("a", (F.col("n") * share).alias("n"), F.lit(0).alias("s"), F.col("n").alias("raw")).groupBy("a").agg(*sums)
+        return {spelled(r["a"], size): r["n"] for r in rows.filter("raw > 1").collect()}
+
+    def contexts(key: Column, beside: str, n: str, named: Column, size: int) -> dict[str, tuple[float, float, int, int]]:
+        rows = quads.filter(F.col(n) > 0).select(key.alias("key"), F.col(beside).alias("beside"), (F.col(n) * share).alias("n"), (named * share).alias("s"), F.col(n).alias("raw"))
+        rows = rows.groupBy("key", "beside").agg(*sums).groupBy("key").agg(*sums, F.count("*").alias("v")).filter("raw > 1")
+        return {spelled(r["key"], size): (r["n"], r["s"], r["v"], r["raw"]) for r in rows.collect()}
+
+    a, b, led = F.col("a"), F.col("b"), F.when(family, F.col("before")).otherwise(0)
+    nearest = a.bitwiseAND(F.lit((1 << _CODE) - 1))
+    before = contexts(a, "b", "before", led, 2) | contexts(nearest, "b", "before", led, 1)
+    behind = contexts(b, "a", "behind", F.col("named"), 2) | contexts(F.shiftright("b", _CODE), "a", "behind", F.col("named"), 1)
+    return Contexts.counted(often(quads, 2), often(counted.filter("kind = 1"), 3), before, behind)
+
+
 # --- address parts ---------------------------------------------------------------------------------------
 
 _N = r"(?:\d{1,4}|[零〇一二三四五六七八九十百]{1,7})"
@@ -428,12 +521,16 @@ def located(texts: list[str], locations: list[list[str]], part: re.Pattern, rng:
     return out
 
 
-def train(texts: list[str], districts: tuple[str, ...], locations: list[list[str]] | None = None, seed: int = 7) -> Redactor:
-    """Fits on a bounded sample of texts and the locations that come with them."""
+def train(texts: list[str], districts: tuple[str, ...], locations: list[list[str]] | None = None, seed: int = 7, count: Callable[[list[str]], Contexts] | None = None) -> Redactor:
+    """Fits on a bounded sample of texts and the locations that come with them.
+
+    count: the contexts of all texts and of the generated ones that it is given; without it those of the sample.
+    """
     rng = random.Random(seed)
     part = address_part(districts)
     fit, held = pii_samples.sentences(texts, rng)
-    seen = Contexts([*texts, *(t for t, _ in fit), *(t for t, _ in held)])
+    made = [t for t, _ in (*fit, *held)]
+    seen = count(made) if count else Contexts([*texts, *made])
     real = located(texts, locations or [[] for _ in texts], part, rng)
     rng.shuffle(real)
     cut = len(real) * 4 // 5
